@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_nearest
+from . import queries_lookalike, queries_nearest
 
-_MODULES = [queries_nearest]
+_MODULES = [queries_nearest, queries_lookalike]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
