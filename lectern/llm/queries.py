@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_canon, queries_lookalike, queries_nearest
+from . import queries_canon, queries_lookalike, queries_nearest, queries_scan_noise
 
-_MODULES = [queries_nearest, queries_canon, queries_lookalike]
+_MODULES = [queries_scan_noise, queries_nearest, queries_canon, queries_lookalike]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
