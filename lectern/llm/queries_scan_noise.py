@@ -15,7 +15,7 @@ def _repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repaired(spark, d).select("script_id", F.explode("noise").alias("x")).select("script_id", "x.line_no", "x.noise").distinct()
+    return _repaired(spark, d).select("script_id", F.explode("noise").alias("x")).select("script_id", "x.line_no", "x.noise")
 
 
 def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
