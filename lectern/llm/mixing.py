@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,7 +41,7 @@ def rake(tokens: np.ndarray, most: np.ndarray, margins: list[tuple[np.ndarray, n
 
 def mix(
     docs: DataFrame, targets: list[tuple[str, float, int]], *, key: str, source: str, language: str, topic: str, size: str,
-    total_tokens: int | None = None, block_rows: int = 50_000, seed: str = "mixture",
+    total_tokens: int | None = None, block_rows: int = 50_000, starts: int = 64, seed: str = "mixture",
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, copies), one row for each document drawn, and the report of the shares reached.
 
@@ -50,7 +50,8 @@ def mix(
     are raked to the sources' targets and to the languages' and topics' own shares of the available tokens; a cell's
     weight over its tokens is the number of times each of its documents is expected. Within each source documents are
     put in order of size in blocks of about `block_rows`, and drawn by systematic sampling with these probabilities, so a
-    document comes floor or ceil of its expected times, never more than its most uses. A source that has no documents, or
+    document comes floor or ceil of its expected times, never more than its most uses. Of `starts` evenly spaced starts
+    of the sampling, each source takes the one that comes nearest to its target. A source that has no documents, or
     too few for its share, leaves the rest to the others in proportion. total_tokens defaults to the largest size at
     which every source that has documents reaches its share. Repeated documents are drawn each on their own.
 
@@ -98,10 +99,20 @@ def mix(
     plan_df = spark.createDataFrame(plan, "source string, language string, topic string, times double, most int, blocks int")
     joined = rows.join(F.broadcast(plan_df), ["source", "language", "topic"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), "blocks"))
     order = Window.partitionBy("source", "block").orderBy(F.col("size").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
-    shift = F.pmod(F.xxhash64("source", "block", F.lit(seed + "-start")), F.lit(1_000_003)) / 1_000_003.0
-    upto = F.sum("times").over(order) + shift
-    taken = joined.withColumn("upto", upto).withColumn("copies", F.least(F.floor(F.col("upto") + 1e-9) - F.floor(F.col("upto") - F.col("times") + 1e-9), F.col("most")).cast("int"))
-    taken = taken.where("copies > 0").select("key", "source", "copies", "size")
+    shift = F.pmod(F.xxhash64("source", "block", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    lined = joined.select("key", "source", "size", "times", "most", (F.sum("times").over(order) + shift).alias("upto")).checkpoint()
+
+    def copies(start: Column) -> Column:
+        step = F.floor(F.col("upto") + start + 1e-9) - F.floor(F.col("upto") + start - F.col("times") + 1e-9)
+        return F.least(step, F.col("most")).cast("int")
+
+    trial = lined.groupBy("source").agg(*[F.sum(copies(F.lit(k / starts)) * F.col("size")).alias(f"t{k}") for k in range(starts)]).collect()
+    planned = dict(zip(present, goal.tolist()))
+    chosen = {r.source: min(range(starts), key=lambda k: (abs((r[f"t{k}"] or 0) - planned[r.source]), k)) / starts for r in trial}
+    start = F.lit(0.0)
+    for name, value in sorted(chosen.items()):
+        start = F.when(F.col("source") == name, F.lit(value)).otherwise(start)
+    taken = lined.withColumn("copies", copies(start)).where("copies > 0").select("key", "source", "copies", "size")
     used = taken.groupBy("source").agg(F.count("*").alias("documents"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("size")).alias("tokens"))
     names = spark.createDataFrame(
         [(s, v[0], v[1], int(have[present.index(s)]) if s in present else 0, float(goal[present.index(s)]) if s in present else 0.0) for s, v in sorted(wanted.items())],
