@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import comparable
 
@@ -19,7 +20,7 @@ def _ratio(a, b) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def block_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The larger of the matching-block ratios of characters and of words; no built-in computes it."""
     return pd.Series([max(_ratio(x or "", y or ""), _ratio((x or "").split(), (y or "").split())) for x, y in zip(a, b)], dtype="float64")

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Digits of ten scripts, and ranges of characters that count as punctuation when texts are compared.
 NATIVE_DIGITS = "०१२३४५६७८९০১২৩৪৫৬৭৮৯੦੧੨੩੪੫੬੭੮੯૦૧૨૩૪૫૬૭૮૯୦୧୨୩୪୫୬୭୮୯௦௧௨௩௪௫௬௭௮௯౦౧౨౩౪౫౬౭౮౯೦೧೨೩೪೫೬೭೮೯൦൧൨൩൪൫൬൭൮൯"
@@ -95,7 +96,7 @@ def measured(value: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"^\s*[-+]?[0-9]*\.?[0-9]+\s*$"), text.try_cast("double")), F.lit(0.0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition, which no built-in offers; Arrow batches."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
