@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.similarity import text_similarity
 from ..functions.text import ascii_digits, preview, strip
 
-NUMBERED = r"(?U)^\s*(\d+)\s*[.:)\]]?(?:\s+(.*))?$"
+NUMBERED = r"(?Us)^\s*(\d+)\s*[.:)\]]?\s*(.*)$"
 
 
 def verses(scripts: DataFrame, *, key: str, text: str) -> DataFrame:
