@@ -97,6 +97,18 @@ def thin(rows: DataFrame, *, keys: list[str], position: str, gap: float, always:
     return lists.select(*keys, F.aggregate("a", start, step, lambda acc: acc.out).alias("drawn"))
 
 
+def visible(rows: DataFrame, *, position: str, start: float, end: float) -> DataFrame:
+    """The rows of a part of a time line, its ends included; the bounds reach a Parquet scan as filters."""
+    return rows.where(F.col(position).between(start, end))
+
+
+def ticks(start: Column, end: Column, interval: Column) -> Column:
+    """The multiples of an interval from start to end, as an array."""
+    first, last = F.ceil(start / interval).cast("bigint"), F.floor(end / interval).cast("bigint")
+    none = F.array().cast("array<double>")
+    return F.when(first <= last, F.transform(F.sequence(first, last), lambda i: i * interval)).otherwise(none)
+
+
 def first_loud(clip: Column, threshold: float) -> Column:
     """Position, from 0, of an array's first element beyond the threshold; its length if there is none."""
     at = F.array_position(F.transform(clip, lambda x: F.abs(x) > threshold), True)

@@ -38,6 +38,19 @@ def full(files: DataFrame, items: DataFrame, *, key: str, error: str = "error")
     return rows.unionByName(broken)
 
 
+def console_lines(files: DataFrame, items: DataFrame, *, key: str, error: str = "error") -> DataFrame:
+    """(key, ord, line): what a terminal shows for each recording: its result, then its checks in order."""
+    mark = F.when(F.col("passed"), "PASS").otherwise("FAIL")
+    heads = files.select(key, F.lit(0).alias("ord"), F.concat(mark, F.lit("  "), F.col(key), F.when(F.col(error).isNotNull(), F.concat(F.lit("  "), F.col(error))).otherwise("")).alias("line"))
+    rows = items.select(key, "ord", F.concat(F.lit("    "), F.rpad("name", 16, " "), mark, F.lit("  "), F.coalesce("value", F.lit("")), F.when(F.col("passed"), "").otherwise(F.concat(F.lit("  "), F.coalesce("detail", F.lit(""))))).alias("line"))
+    return heads.unionByName(rows)
+
+
+def tally(rows: DataFrame, status: str) -> DataFrame:
+    """How many rows have each status: done, skipped and failed ones of a batch run."""
+    return rows.groupBy(F.coalesce(F.col(status), F.lit("none")).alias("status")).agg(F.count("*").alias("n"))
+
+
 def chapter_section(chapters: DataFrame) -> DataFrame:
     """(book, summary) of the books with missing or repeated chapters, from completeness.missing_chapters."""
     rows = chapters.where(~F.col("complete") | (F.size("repeated") > 0))

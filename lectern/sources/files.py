@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import dataclasses
 import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,25 @@ def read_scripts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), basename(F.col("_metadata.file_path")).alias("filename"), F.col("value").alias("raw_text"))
 
 
+def read_documents(spark: SparkSession, paths: list[str], extract: Callable[[bytes], str]) -> DataFrame:
+    """(path, filename, raw_text, error) of binary documents, by any function from a file's bytes to its text.
+
+    The function is called in the tasks; pages are separated by it as it likes, and a failure is noted for its file.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows.append((path, path.rsplit("/", 1)[-1], extract(bytes(content)).strip(), None))
+                except Exception as e:  # whatever a library of others raises is that file's error
+                    rows.append((path, path.rsplit("/", 1)[-1], None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "filename", "raw_text", "error"])
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, filename string, raw_text string, error string")
+
+
 def output_name(path: str, kind: str) -> str:
     """SQL for the name of a derived file: '<stem>_marked.wav' beside it, or '<first part>_Mastered|_Fixed/<name>'."""
     if kind == "marked":

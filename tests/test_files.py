@@ -145,3 +145,20 @@ def test_measuring_and_mastering_in_tasks(spark, tmp_path):
     done = {r.path[-5:]: r for r in dsp.master_files(content).collect()}
     h, cues = wavcodec.parse(bytes(done["a.wav"].mastered))
     assert (h.sample_rate, h.bits, h.channels, [c.label for c in cues]) == (48000, 24, 1, ["Verse 1", "Verse 2"])
+
+
+def test_clips_documents_and_console(spark, tmp_path):
+    path = tmp_path / "a.wav"
+    path.write_bytes(wavcodec.synthetic(["Verse 1"], rate=8000, bits=24))
+    rows = spark.createDataFrame([(str(path), 2.0, 2.1), (str(tmp_path / "no.wav"), 0.0, 1.0)], "path string, start_s double, end_s double")
+    got = {r.path: r.clip for r in wav.cut_segments(rows).collect()}
+    h, _ = wavcodec.parse(bytes(got[str(path)]))
+    assert (h.n_frames, h.bits, h.channels) == (800, 16, 1) and got[str(tmp_path / "no.wav")] is None
+    (tmp_path / "x.pdf").write_bytes(b" text ")
+    (tmp_path / "y.pdf").write_bytes(b"\xff")
+    docs = {r.filename: r for r in F.read_documents(spark, [str(tmp_path / "*.pdf")], lambda b: b.decode("utf-8")).collect()}
+    assert docs["x.pdf"].raw_text == "text" and docs["y.pdf"].error
+    files = spark.createDataFrame([("a", True, None), ("b", False, "broken")], "path string, passed boolean, error string")
+    items = spark.createDataFrame([("a", 1, "Format", True, "48k", "ok")], "path string, ord int, name string, passed boolean, value string, detail string")
+    assert [r.line for r in report.console_lines(files, items, key="path").orderBy("path", "ord").collect()] == ["PASS  a", "    Format          PASS  48k", "FAIL  b  broken"]
+    assert {r.status: r.n for r in report.tally(files, "error").collect()} == {"none": 1, "broken": 1}

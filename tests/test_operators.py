@@ -93,6 +93,12 @@ def test_points_in_segments(spark, points, parts):
     assert got == sorted((i, j) for i, (k, t) in enumerate(points) for j, (q, a, n) in enumerate(parts) if k == q and a <= t <= a + n)
 
 
+def test_ticks_and_visible(spark):
+    df = spark.createDataFrame([(0.3, 2.1), (5.0, 4.0), (2.0, 2.0)], "a double, b double")
+    assert [list(r[0]) for r in df.select(series.ticks(F.col("a"), F.col("b"), F.lit(0.5))).collect()] == [[0.5, 1.0, 1.5, 2.0], [], [2.0]]
+    assert series.visible(df, position="a", start=0.3, end=2.0).count() == 2
+
+
 def test_clips(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0, 0.5, -0.6, 0.0]), (2, [0.0, 0.0]), (3, [])], "i int, x array<double>")
     got = {r.i: (r.h, list(r.f)) for r in df.select("i", series.first_loud(F.col("x"), 0.1).alias("h"), series.fix_edges(F.col("x"), 0.1, 1).alias("f")).collect()}
