@@ -241,6 +241,17 @@ SQL = {
     "envelope": f"WITH {_E}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS c FROM e), b AS (SELECT user_id, pos // greatest(1, c // 16) AS bucket, value FROM n) SELECT user_id, bucket, min(value) AS low, max(value) AS high FROM b WHERE bucket < 16 GROUP BY 1, 2",
     "bucket_peaks": f"WITH {_E} SELECT user_id, us // 86400000000 AS bucket, max(abs(value)) AS peak, count(*) AS samples FROM e GROUP BY 1, 2",
     "min_gap_push": f"WITH {_E} SELECT event_id, (max(us - pos * {GAP_US}) OVER (PARTITION BY user_id ORDER BY us, event_id) + pos * {GAP_US})::BIGINT AS placed FROM e",
+    "thinning": f"""WITH {_E}, s AS (SELECT user_id, list({{'p': (us // 1000000)::DOUBLE, 'last': -1e18::DOUBLE, 'n': 0::BIGINT, 't': 0::BIGINT}} ORDER BY us // 1000000) AS l FROM e GROUP BY 1),
+r AS (SELECT user_id, list_reduce(list_prepend({{'p': 0::DOUBLE, 'last': -1e18::DOUBLE, 'n': 0::BIGINT, 't': 0::BIGINT}}, l), lambda a, x: CASE WHEN x.p - a.last >= 172800 THEN {{'p': x.p, 'last': x.p, 'n': a.n + 1, 't': a.t + x.p::BIGINT}} ELSE a END) AS z FROM s)
+SELECT user_id, z.n AS n, z.t AS total FROM r""",
+    "greedy_match": """WITH v AS (SELECT comparison_id, expected_text AS x, transcribed_text AS y FROM verse_comparison WHERE expected_text IS NOT NULL AND transcribed_text IS NOT NULL),
+c AS (SELECT *, list_transform(generate_series(1, length(x)), lambda i: {'c': substr(x, i, 1), 'at': 0::BIGINT, 'm': 0::BIGINT}) AS l FROM v),
+r AS (SELECT comparison_id, length(x) + length(y) AS n, list_reduce(list_prepend({'c': '', 'at': 0::BIGINT, 'm': 0::BIGINT}, l), lambda a, e: CASE WHEN a.at < 0 THEN a WHEN instr(substr(y, a.at + 1), e.c) > 0 THEN {'c': '', 'at': a.at + instr(substr(y, a.at + 1), e.c), 'm': a.m + 1} ELSE {'c': '', 'at': -1::BIGINT, 'm': a.m} END).m AS m FROM c)
+SELECT comparison_id, round(CASE WHEN n = 0 THEN 0 ELSE 2.0::DOUBLE * m / n END, 6) AS score FROM r""",
+    "segment_words": """WITH o AS (SELECT path, verse_number, arg_min({'t': expected_text, 'a': start_s, 'b': end_s}, comparison_id) AS z FROM verse_comparison WHERE path IS NOT NULL AND expected_text IS NOT NULL AND start_s < end_s GROUP BY 1, 2),
+p AS (SELECT path, verse_number AS v, z.a AS a, z.b AS b, string_split(z.t, ' ') AS w FROM o), q AS (SELECT path, v, a, (b - a) / len(w) AS step, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM p),
+m AS (SELECT path, v * 1000 + i AS pos, ((a + i * step) + (a + (i + 1) * step)) / 2 AS mid, word FROM q)
+SELECT m.path, p.v AS verse, string_agg(word, ' ' ORDER BY pos) AS transcript FROM m JOIN p ON m.path = p.path AND mid BETWEEN p.a AND p.b GROUP BY 1, 2, p.a, p.b""",
     "clip_stats": "WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT *, list_sum(v) / len(v) AS mean FROM x) SELECT vec_id, round(mean, 6) AS mean, round(list_max(list_transform(v, lambda a: abs(a))), 6) AS peak, round(list_max(v) - CASE WHEN abs(mean) > 1e-6 THEN mean ELSE 0 END, 6) AS highest FROM m",
     "clip_gain_clip": "WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda a: greatest(least(a * 4.0::DOUBLE, 1.0::DOUBLE), -1.0::DOUBLE)) AS v FROM embeddings) SELECT vec_id, round(list_sum(v), 5) AS total, len(list_filter(v, lambda a: abs(a) >= 1.0))::BIGINT AS clipped FROM x",
     "clip_head_silence": """WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda a: abs(a) > 0.1::DOUBLE) AS v FROM embeddings), p AS (SELECT vec_id, len(v) AS n, coalesce(nullif(list_position(v, true), 0) - 1, len(v)) AS h, coalesce(nullif(list_position(list_reverse(v), true), 0) - 1, len(v)) AS t FROM x)
