@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.rejects import parse_marker_records
-from .session import table
+from .session import spread, table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    parsed = parse_marker_records(table(spark, d, "csv_raw").select("line_id", "line_no", "line"))
+    parsed = parse_marker_records(spread(table(spark, d, "csv_raw").select("line_id", "line_no", "line")))
     return parsed.where((F.col("line_no") > 1) & F.col("reason").isNotNull()).select("line_id", "reason")
 
 
 def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
-    parsed = parse_marker_records(table(spark, d, "csv_raw").select("line_id", "path", "line_no", "line"))
+    parsed = parse_marker_records(spread(table(spark, d, "csv_raw").select("line_id", "path", "line_no", "line")))
     return parsed.where((F.col("line_no") > 1) & F.col("reason").isNull()).select(
         "line_id", "path", "name", F.round("start_seconds", 6).alias("start_seconds"), F.col("start_samples").cast("bigint").alias("start_samples"), "time_format"
     )
@@ -23,7 +23,7 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Valid and rejected records of each recording's sidecar file."""
-    parsed = parse_marker_records(table(spark, d, "csv_raw").select("path", "line_no", "line"))
+    parsed = parse_marker_records(spread(table(spark, d, "csv_raw").select("path", "line_no", "line")))
     return (
         parsed.where(F.col("line_no") > 1).groupBy("path", F.coalesce("reason", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("records"))
     )
