@@ -28,7 +28,7 @@ def test_runs(spark, name):
 
 
 def test_the_core_does_not_load_the_subpackage_for_training_data():
-    code = "import sys, pkgutil, importlib, lectern\nfor m in pkgutil.walk_packages(lectern.__path__, 'lectern.'):\n    if not m.name.startswith('lectern.llm') and not m.name.endswith('__main__'): importlib.import_module(m.name)\nassert not any(m.startswith('lectern.llm') for m in sys.modules)"
+    code = "import sys, pkgutil, importlib, lectern\nfor m in pkgutil.walk_packages(lectern.__path__, 'lectern.'):\n    if not m.name.startswith('lectern.llm') and not m.name.endswith('__main__'): importlib.import_module(m.name)\nassert not any(m.startswith('lectern.llm.') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
