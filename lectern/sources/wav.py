@@ -16,6 +16,7 @@ SCHEMAS = {
     "header": "path string, filename string, audio_format int, channels int, sample_rate long, bits int, sampwidth int, data_offset long, data_size long, n_frames long, seconds double, error string",
     "markers": "path string, cue_id long, sample_offset long, label string, length_samples long, sample_rate long, seconds double",
     "peaks": "path string, edge string, bucket long, t0 double, dur_s double, peak double",
+    "envelope": "path string, bucket long, low double, high double",
     "pcm": "path string, block long, start_frame long, channels int, sample_rate long, bits int, pcm binary",
 }
 
@@ -46,6 +47,7 @@ class WavReader(DataSourceReader):
         self.edge_s = float(options.get("edgeseconds", 6.0))
         self.block = int(options.get("blockframes", 480_000))
         self.bucket_s = float(options.get("bucketseconds", 0.01))
+        self.columns = int(options.get("columns", 1400))
         self.whole = options.get("whole", "false").lower() == "true"
 
     def partitions(self) -> list[Chunk]:
@@ -82,13 +84,24 @@ class WavReader(DataSourceReader):
                 part = mono[b : b + width]
                 yield path, name, b // width, b / h.sample_rate, len(part) / h.sample_rate, float(part.max())
 
+    def _envelope(self, path: str, stream, h: wavcodec.Header) -> Iterator[tuple]:
+        """Lowest and highest sample in at most `columns` equal stretches, read stretch by stretch."""
+        width = max(1, h.n_frames // self.columns)
+        at_once = max(1, self.block // width)
+        for first in range(0, min(self.columns, -(-h.n_frames // width)), at_once):
+            count = min(at_once, self.columns - first)
+            mono = wavcodec.to_mono(wavcodec.to_float(wavcodec.read_frames(stream, h, first * width, count * width), h))
+            for i, a in enumerate(range(0, len(mono), width)):
+                part = mono[a : a + width]
+                yield path, first + i, float(part.min()), float(part.max())
+
     def _pcm(self, path: str, stream, h: wavcodec.Header) -> Iterator[tuple]:
         for i, start in enumerate(range(0, h.n_frames, self.block)):
             yield path, i, start, h.channels, h.sample_rate, h.bits, wavcodec.read_frames(stream, h, start, self.block)
 
 
 class WavSource(DataSource):
-    """format("wav"): views header (the default), markers, peaks and pcm, chosen by the option `view`.
+    """format("wav"): views header (the default), markers, peaks, envelope and pcm, chosen by the option `view`.
 
     Only what a view needs is read: headers skip the samples, peaks read the edges, pcm gives blocks of `blockframes`.
     Unreadable files appear in the header view with their error and nowhere else.

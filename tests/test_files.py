@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lectern.functions import dsp
+from lectern.operators import series
 from lectern.operators.checks import Settings
 from lectern.plans import report
 from lectern.plans.check import check_recordings, verse_segments
@@ -68,6 +69,10 @@ def test_source_views(spark, folder):
     assert silent["Jon_001.WAV"].tail_silence == pytest.approx(0.4, abs=0.02) and silent["Jon_001.WAV"].head_silence == pytest.approx(2.0, abs=0.02)
     blocks = wav.read(spark, [str(folder / "Oba_001.wav")], "pcm", blockframes=50_000).orderBy("block").collect()
     assert sum(len(b.pcm) for b in blocks) == 4 * 48000 * 3
+    shape = wav.read(spark, [str(folder / "good")], "envelope", columns=100, blockframes=10_000).orderBy("bucket").collect()
+    assert [r.bucket for r in shape] == list(range(100)) and max(r.high for r in shape) == pytest.approx(0.5, abs=0.01) and shape[0].high == 0.0
+    quiet = series.pauses(wav.read(spark, [str(folder / "good")], "peaks", whole=True), keys=["path"], start="t0", width="dur_s", peak="peak").orderBy("start").collect()
+    assert [round(r.duration, 1) for r in quiet] == [2.0, 2.0]
     parts = verse_segments(marks, wav.read(spark, [str(folder)]))
     assert parts.where("end_s <= start_s").count() == 0
 
