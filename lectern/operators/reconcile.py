@@ -21,16 +21,19 @@ def compare_markers(embedded: DataFrame, sidecar: DataFrame, *, path: str, name:
 
     Names are compared trimmed and without case; of several embedded markers of one name the last counts, while each
     sidecar row counts on its own. Null or blank names take no part; a null time on either side is not matched. The last
-    of a name is found with a partial max, not by gathering the name's rows. Other columns don't matter.
+    of a name is found with a partial max, not by gathering the name's rows. Instead of a full outer join there is a left
+    join, whose side of sidecar rows can be split where one name holds many of them, and an anti join of single rows by
+    name. Other columns don't matter.
     """
     key = lambda c: F.lower(strip(F.col(c)))
     left = sidecar.select(F.col(path).alias("path"), key(name).alias("name"), F.col(start).alias("start"), F.col(sidecar_order).alias("row")).where("name <> '' AND path IS NOT NULL")
     right = embedded.select(F.col(path).alias("path"), key(label).alias("name"), F.col(seconds).alias("seconds"), F.col(order).alias("ord")).where("name <> '' AND path IS NOT NULL")
     right = right.groupBy("path", "name").agg(F.max_by("seconds", "ord").alias("seconds"), F.lit(True).alias("here"))
-    both = left.join(right, ["path", "name"], "full_outer")
     near = F.coalesce(F.abs(F.col("start") - F.col("seconds")) <= tolerance, F.lit(False))
-    status = F.when(F.col("row").isNull(), "embedded_only").when(F.col("here").isNull(), "sidecar_only").when(near, "matched").otherwise("time")
-    return both.select("path", "name", status.alias("status"), "row")
+    listed = left.join(right, ["path", "name"], "left")
+    listed = listed.select("path", "name", F.when(F.col("here").isNull(), "sidecar_only").when(near, "matched").otherwise("time").alias("status"), "row")
+    alone = right.join(left.select("path", "name").distinct(), ["path", "name"], "left_anti")
+    return listed.unionByName(alone.select("path", "name", F.lit("embedded_only").alias("status"), F.lit(None).cast(left.schema["row"].dataType).alias("row")))
 
 
 def comparison_summary(compared: DataFrame) -> DataFrame:
