@@ -5,8 +5,8 @@ from hypothesis import strategies as st
 
 from lectern.llm.lookalike import CLASS_OF, MEMBERS, Model, consistent, folded
 
-PAIRS = [(0, a, b, 9) for a, b in zip("|the cat sat|".replace("|", " ").replace(" ", "~"), "the cat sat~".replace(" ", "~"))]
-MODEL = Model([(s, "" if a == "~" else a, "" if b == "~" else b, n) for s, a, b, n in PAIRS])
+TEXT = " the cat sat "
+MODEL = Model([(0, a.strip(), b.strip(), 9) for a, b in sorted(set(zip(TEXT, TEXT[1:])))])
 
 
 def seen(text):
@@ -17,13 +17,7 @@ def seen(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text("aаoоοpрcсxхyуAАΑBВ1l.é й​­　ｅﬁ", max_size=14), st.text("aаoоοpрcсxхyуAАΑBВ1l.é й​­　ｅﬁ", max_size=14))
 def test_equal_just_when_they_look_the_same(a, b):
-    mixed = any(len({CLASS_OF.get(c) is None and c for c in w}) > 9 for w in (a, b))
-    if not mixed:
-        assert (MODEL.text(a) == MODEL.text(b)) == (seen(a) == seen(b)) or MODEL.text(a) is not None and seen(a) == seen(b)
-    if seen(a) == seen(b):
-        assert MODEL.text(a) == MODEL.text(b)
-    else:
-        assert MODEL.text(a) != MODEL.text(b)
+    assert (MODEL.text(a) == MODEL.text(b)) == (seen(a) == seen(b))
 
 
 def test_forms():
