@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -86,6 +87,11 @@ STUBS = [
     r"(?:please )?check back (?:later|soon)", r"coming soon", r"to be (?:added|written|completed|announced|done|continued)", r"todo:? [a-z ]{3,40}", r"todo", r"tbd", r"under construction", r"no (?:content|text|notes|description) (?:yet|available)",
     r"(?:write|add|insert|type|put) (?:your )?(?:text|content|notes|title|script)(?: text)? here", r"your text here", r"type the [a-z]+ here", r"replace this [a-z]+ with your own [a-z]+", r"placeholder(?: text)?", r"sample text", r"draft", r"no text yet", r"content to be added", r"this is (?:dummy|sample|placeholder) (?:content|text)(?: for (?:the )?layout)?", r"untitled", r"n/?a", r"null", r"undefined", r"none",
 ]
+#: Words of which each stub phrase above holds one.
+STUB_WORDS = frozenset(
+    "empty blank pending follow come here soon missing tba tbd added written completed announced done continued todo construction yet available "
+    "replace placeholder sample draft dummy untitled n na null undefined none".split()
+)
 #: Words of filler text.
 LOREM = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
@@ -127,32 +133,61 @@ def letters(text: str) -> int:
     return sum(map(str.isalnum, text))
 
 
-def is_filler(words: list[str], plain: str) -> bool:
-    """Filler text: Latin dummy words, keys of one row, one word or one line repeated."""
-    if len(words) < 3:
-        return False
-    head = words[:60]  # most texts are told apart by their beginning; only those that pass are read on
-    for part in (head, words):
-        distinct = set(part)
-        latin = len(part) >= 4 and len(distinct) > 3 and sum(w in LOREM for w in part) >= 0.7 * len(part) and sum(w in LOREM and len(w) > 3 for w in part) >= 0.3 * len(part)
-        keys = len(part) >= 4 and sum(set(w) <= KEYS for w in part) >= 0.8 * len(part)
-        same = len(distinct) * 3 <= len(part) and len(distinct) <= 8
-        if not (latin or keys or same):
-            return False
-        if len(head) == len(words):
-            break
-    if latin or keys:
-        return True
-    pieces = [re.sub(r"\d+", "9", x).strip() for x in re.split(r"\n|;|[.!?](?:\s|$)", plain) if letters(x)]
-    most = max(map(words.count, distinct))
-    return (len(pieces) >= 3 and len(set(pieces)) * 3 <= len(pieces)) or (len(words) >= 4 and most >= 0.8 * len(words))
-
+def is_filler(plain: str) -> tuple[bool, float]:
+    """Whether a whole text is filler (Latin dummy words, keys of one row, one word or one line repeated), and how many
+    letters stub phrases can cover in it at most, by its words.
 
-KEYS = set("asdfjkl")
+    Words are counted over the whole text, in one pass; reading stops early only where what is left, taken as words of one
+    letter, couldn't bring any count to its limit. What stands beside the filler, like a heading, counts against it.
+    """
+    counts: Counter[str] = Counter()
+    n = latin = long = keys = at = 0
+    while at < len(plain):
+        end = plain.find(" ", at + 8192) if at + 8192 < len(plain) else -1
+        end = len(plain) if end < 0 else end
+        words = WORD.findall(plain, at, end)
+        at = end
+        counts.update(words)
+        dummy = list(filter(LOREM.__contains__, words))
+        n, latin, long = n + len(words), latin + len(dummy), long + sum(len(w) > 3 for w in dummy)
+        keys += sum(not w.strip(KEYS) for w in words)
+        left = (len(plain) - at + 1) // 2
+        if left and latin + left < 0.7 * (n + left) and keys + left < 0.8 * (n + left) and len(counts) > 8 + 0.2 * (n + left):
+            return False, math.inf
+    stub = sum(counts[w] for w in STUB_WORDS & counts.keys())
+    stub *= 44 + 2 * max(map(len, counts)) if stub else 0  # the longest phrase, and two words that may be any
+    if n < 3:
+        return False, stub
+    if n >= 4 and ((len(counts) > 3 and latin >= 0.7 * n and long >= 0.3 * n) or keys >= 0.8 * n):
+        return True, stub
+    if len(counts) * 3 > n or len(counts) > 8 + 0.2 * n:
+        return False, stub
+    if n >= 4 and max(counts.values()) >= 0.8 * n:
+        return True, stub
+    pieces = Counter(re.sub(r"\d+", "9", x).strip() for x in re.split(r"\n|;|[.!?](?:\s|$)", plain) if letters(x))
+    if len(counts) <= 8:
+        return pieces.total() >= 3 and len(pieces) * 3 <= pieces.total(), stub
+    # a repeated line of few words under other text, which is a fifth of the words at most
+    often = {x: WORD.findall(x) for x, k in pieces.items() if k >= 3}
+    return sum(pieces[x] * len(w) for x, w in often.items()) >= 0.8 * n and len({w for x in often.values() for w in x}) <= 8, stub
+
+
+KEYS = "asdfjkl"
 WORD = re.compile(r"[^\W\d_]+")
 GAPS = re.compile(r"\s+")
 
 
+def is_stub(plain: str, total: int) -> bool:
+    """Whether stub phrases make up nine tenths of a whole text's letters; read until too many others were seen."""
+    flat, at, others = GAPS.sub(" ", plain), 0, 0
+    for m in STUB_RE.finditer(flat):
+        others += letters(flat[at : m.start()])
+        if others > 0.1 * total:
+            return False
+        at = m.end()
+    return others + letters(flat[at:]) <= 0.1 * total
+
+
 def segments(text: str) -> Iterator[str]:
     """Sentences and lines, one after the other, so that a reader may stop early."""
     at = 0
@@ -174,10 +209,10 @@ def page_shape(text: str, companions: frozenset[str] = frozenset()) -> tuple[str
     total = letters(plain)
     if total == 0:
         return "stub", []
-    head = WORD.findall(plain[:600])
-    if is_filler(head, plain[:600]) and (len(plain) <= 600 or is_filler(WORD.findall(plain), plain)):
+    filler, stub_letters = is_filler(plain)
+    if filler:
         return "filler", []
-    if total <= 200 and letters(STUB_RE.sub(" ", GAPS.sub(" ", plain))) <= 0.1 * total:
+    if stub_letters >= 0.9 * total and is_stub(plain, total):
         return "stub", []
     covered, open_letters, rest, prose = 0, 0, [], False
     limit = 0.1 * total

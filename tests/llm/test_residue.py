@@ -12,6 +12,16 @@ def test_shapes():
     assert [page_shape(p)[0] for p in prose] == [""] * len(prose)
 
 
+def test_filler_and_stubs_are_decided_on_the_whole_text():
+    heading = "Chapter four of the second reading, recorded at the small booth by Oshelle and checked twice before the long summer break began."
+    for body in ("lorem ipsum dolor sit amet consectetur elit sed do eiusmod tempor. " * 50, "sdf jkl fds asd kjl " * 120, "test " * 400, "line 1 sample; line 2 sample; " * 80):
+        assert page_shape(f"{heading}\n{body}")[0] == page_shape(f"{body}\n{heading}")[0] == "filler"
+    assert page_shape(f"{heading} " + "lorem ipsum dolor sit amet " * 5)[0] == page_shape(f"{GOOD * 2000} " + "lorem ipsum dolor sit amet " * 5000)[0] == ""
+    stubs = "Notes pending - check back later. Your text here. Under construction. Type the title here. Coming soon. Content to be added. No description available. Write your notes here. "
+    assert page_shape(stubs * 3)[0] == page_shape(stubs + "Replace this heading with your own name.")[0] == "stub"
+    assert page_shape(f"{heading * 4} " + "notes pending, coming soon. " * 10)[0] == ""
+
+
 def test_slots():
     found = [f for _, f, _, _ in slots("Dear {{ name }},\nFile %BOOK% failed. XXXX, __DATE__ [INSERT DATE] <title here> (date to follow) #PHONE# @@X@@ ${a} [[b]] [your title here]")]
     assert len(found) == 12
