@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,13 +243,31 @@ def page_shape(text: str, companions: frozenset[str] = frozenset()) -> tuple[str
 
 
 MAY_HOLD = re.compile(r"[{\[<@%#]|__|XXX|to follow|to come|TB[ACD]|tb[acd]|\(insert", re.I)
+TOKEN = re.compile(r"\x01\d+\x02|[^\W\d_]+|\d+|[^\w\s]")
+_NAMED = (
+    r"(?:placeholder|field|tag|variable|token|macro|shortcode|platzhalter|feld|felder|variablen?|marcador|marcadores|campo|etiqueta|"
+    r"заполнитель|поле|поля|тег|переменная|переменную|प्लेसहोल्डर|फ़ील्ड|टैग)s?"
+)
+#: What describes a placeholder, before it (its kind, or things such as it) and behind it (its kind, or that it is exchanged).
+DESCRIBED_BEFORE = re.compile(
+    r"(?:^|\s)(?:(?:placeholder|variable|tag|token|macro|shortcode|platzhalter|marcador|etiqueta|заполнитель|тег|переменная|प्लेसहोल्डर)"
+    rf"|(?:{_NAMED}|directions|marks|brackets|codes|forms|signs|strings) (?:such as|like|wie|como|как|जैसे)(?: \S+){{0,5}}?)$"
+)
+DESCRIBED_BEHIND = re.compile(
+    rf"^{_NAMED}(?:\s|$)"
+    r"|^(?:[^\s.;◊]+ ){0,7}?(?:is|are|was|were|gets?|be|been) (?:swapped|replaced|substituted|exchanged|filled|expanded) (?:for|by|with|in)(?: [^\s◊]+){2}"
+    r"|^(?:[^\s.;◊]+ ){0,7}?(?:wird|werden|wurde) (?:durch|mit) (?:[^\s◊]+ ){1,5}?(?:ersetzt|ausgetauscht|gefüllt)"
+    r"|^(?:[^\s.;◊]+ ){0,7}?(?:se (?:sustituye|reemplaza|cambia)|заменяется|заменяют|заменяем)(?: [^\s◊]+){2}"
+)
+QUOTES = frozenset("\"'`“”„‘’«»‹›")
 
 
-def slots(text: str) -> list[tuple[str, str, int, int]]:
-    """(frame, filler, hash of the sentence, its words) of each placeholder: the two tokens before it are its frame, or,
-    at a sentence's start, the two behind.
+def slots(text: str) -> list[tuple[str, str, bool, str]]:
+    """(frame, filler, whether it is quoted or described, the frame's longest word) of each placeholder.
 
-    Placeholders beside it count as the same neighbour, whatever they hold, so records of one template share frames.
+    Its frame are the two tokens before it and the two behind, in its sentence; placeholders beside it count as the same
+    neighbour, whatever they hold, so records of one template share frames. Where no word stands in the frame, the
+    placeholder isn't spoken of.
     """
     found = []
     if not MAY_HOLD.search(text):
@@ -258,44 +275,77 @@ def slots(text: str) -> list[tuple[str, str, int, int]]:
     for segment in SEGMENT.split(text):
         if not MAY_HOLD.search(segment):
             continue
-        spans = [(m.start(), m.end()) for m in PLACEHOLDER.finditer(segment) if not (NEEDS_UPPER.match(m[0]) and not UPPER.match(m[0]))]
-        if not spans:
+        spans, shape = shaped(segment)
+        k = 0
+        for i, t in enumerate(shape):
+            if t == "◊":
+                (a, b), k = spans[k], k + 1
+                before, behind = around(shape, i, i + 1)
+                word = max((x for x in (*before, *behind) if x.isalpha()), key=lambda x: (len(x), x), default="")
+                spoken = bool(word) and (
+                    (before[1] in QUOTES and behind[0] in QUOTES)
+                    or DESCRIBED_BEFORE.search(" ".join(shape[max(0, i - 9) : i])) is not None
+                    or DESCRIBED_BEHIND.search(" ".join(shape[i + 1 : i + 16])) is not None
+                )
+                found.append((" ".join((*before, "_", *behind)), segment[a:b], spoken, word))
+    return found
+
+
+def shaped(segment: str) -> tuple[list[tuple[int, int]], list[str]]:
+    """The places of a sentence's placeholders, and its tokens with placeholders and numbers masked."""
+    spans = [(m.start(), m.end()) for m in PLACEHOLDER.finditer(segment) if not (NEEDS_UPPER.match(m[0]) and not UPPER.match(m[0]))]
+    marked, at = [], 0
+    for k, (a, b) in enumerate(spans):
+        marked.append(segment[at:a] + f" \x01{k}\x02 ")
+        at = b
+    tokens = TOKEN.findall("".join([*marked, segment[at:]]).lower())
+    return spans, ["◊" if t[0] == "\x01" else "9" if t.isdigit() else t for t in tokens]
+
+
+def around(shape: list[str], i: int, j: int) -> tuple[list[str], list[str]]:
+    """The two tokens before place i and the two from place j on, with marks at the sentence's ends."""
+    return (["^", "^", *shape[max(0, i - 2) : i]])[-2:], [*shape[j : j + 2], "$", "$"][:2]
+
+
+def values(text: str, words: frozenset[str], automaton: ahocorasick.Automaton, longest: int = 6) -> list[str]:
+    """The frames, with one of the words, in which up to `longest` tokens stand that hold no placeholder."""
+    found = []
+    low = text.lower()
+    if next(automaton.iter(low), None) is None:
+        return found
+    for segment in SEGMENT.split(text):
+        if next(automaton.iter(segment.lower()), None) is None:
             continue
-        marked, at = [], 0
-        for k, (a, b) in enumerate(spans):
-            marked.append(segment[at:a] + f" \x01{k}\x02 ")
-            at = b
-        tokens = re.findall(r"\x01\d+\x02|[^\W\d_]+|\d+|[^\w\s]", "".join([*marked, segment[at:]]).lower())
-        shape = ["◊" if t[0] == "\x01" else "9" if t.isdigit() else t for t in tokens]
-        digest = xxhash.xxh64_intdigest(re.sub(r"\d+", "9", segment)) - 2**63
-        for i, t in enumerate(tokens):
-            if t[0] == "\x01":
-                a, b = spans[int(t[1:-1])]
-                before = " ".join(shape[max(0, i - 2) : i])
-                frame = f"{before} _" if before else "_ " + " ".join(shape[i + 1 : i + 3])
-                found.append((frame, segment[a:b], digest, sum(x.isalnum() for x in shape)))
+        shape = shaped(segment)[1]
+        hits = [k for k, t in enumerate(shape) if t in words]
+        gaps = {(i, i + n) for k in hits for i in (k + 1, k + 2) for n in range(1, longest + 1)}
+        gaps |= {(j - n, j) for k in hits for j in (k, k - 1) for n in range(1, longest + 1)}
+        for i, j in gaps:
+            if 0 <= i and j <= len(shape) and "◊" not in shape[i:j]:
+                before, behind = around(shape, i, j)
+                found.append(" ".join((*before, "_", *behind)))
     return found
 
 
-def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mention_sentences: int = 3, mention_words: int = 10, companion_share: float = 0.005) -> DataFrame:
+def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", value_share: float = 0.5, companion_share: float = 0.005) -> DataFrame:
     """(key, kinds): the documents with residue and what was found: 'slot', 'filler', 'stub', 'page', sorted.
 
-    Slots: sentences are aligned by the tokens beside a placeholder. A frame that is filled in several
-    ways is a slot of a template, and what stands in it unfilled is residue. A frame that always holds the very same
-    string, in at least `mention_sentences` different sentences, is a sentence that mentions a placeholder, and its
-    documents are left alone; where the corpus has fewer such sentences, one of more than `mention_words` words counts
-    as a mention too. Pages: texts made up of the phrases of error pages and notices, together with what recurs in at
+    Slots: a placeholder is residue unless it is spoken of, that is quoted, or described by the words beside it, as
+    'the {name} field' is. Sentences of all records are aligned by the two tokens on either side of those: where values
+    stand in at least `value_share` of the places with the same frame, it is a slot of a template nevertheless. Both are
+    shares and words of the sentence, so the answer doesn't depend on how many records there are. Pages: texts made up of the phrases of error pages and notices, together with what recurs in at
     least `companion_share` of the pages that have such phrases (so at most phrases of a page / companion_share texts are
     learned). Null texts give no row, empty or blank ones are stubs; whole texts are read; repeated documents count each.
-    Frames are counted as distinct (frame, filler, sentence) with partial counts, so a template that fills a third of
-    the corpus isn't gathered anywhere; only found candidates, not texts, are shuffled. Other columns don't matter.
+    Frames are counted with partial counts, so a template that fills a third of the corpus isn't gathered anywhere; only
+    found candidates, not texts, are shuffled. What is sent to the tasks for the alignment is a word of each frame of a
+    placeholder spoken of, so no more than the vocabulary. Other columns don't matter.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     key_type = rows.schema["key"].dataType.simpleString()
-    slot_type = "array<struct<frame:string,filler:string,sentence:bigint,words:int>>"
-    arrow_slots = pa.list_(pa.struct([("frame", pa.string()), ("filler", pa.string()), ("sentence", pa.int64()), ("words", pa.int32())]))
+    slot_type = "array<struct<frame:string,filler:string,spoken:boolean,word:string>>"
+    arrow_slots = pa.list_(pa.struct([("frame", pa.string()), ("filler", pa.string()), ("spoken", pa.bool_()), ("word", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +354,7 @@ def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", me
                 kind, rest = page_shape(t)
                 places = slots(t)
                 if kind or rest or places:
-                    out.append((i, kind, rest, [dict(zip(("frame", "filler", "sentence", "words"), p)) for p in places]))
+                    out.append((i, kind, rest, [dict(zip(("frame", "filler", "spoken", "word"), p)) for p in places]))
             at = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.list_(pa.string())), pa.array([o[3] for o in out], arrow_slots), pa.array([sum(len(r) for r in o[2]) for o in out], pa.int64())],
@@ -329,7 +379,18 @@ def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", me
 
         found = found.unionByName(rows.mapInArrow(again, f"key {key_type}, kind string"))
     places = seen.select("key", F.explode("places").alias("p")).select("key", "p.*")
-    frames = places.select("frame", "filler", "sentence").distinct().groupBy("frame").agg(F.count("*").alias("sentences"), F.min("filler").alias("low"), F.max("filler").alias("high"))
-    mention = (F.col("low") == F.col("high")) & ((F.col("sentences") >= mention_sentences) | (F.col("words") > mention_words))
-    slot = places.join(frames, "frame").where(~mention).select("key", F.lit("slot").alias("kind"))
+    slot = places.where("NOT spoken").select("key", F.lit("slot").alias("kind"))
+    words = frozenset(r.word for r in places.where("spoken").select("word").distinct().collect())
+    if words:
+
+        def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(sorted(words))
+            for batch in batches:
+                frames = Counter(f for t in batch.column(0).to_pylist() for f in values(t, words, automaton))
+                yield pa.RecordBatch.from_arrays([pa.array(list(frames), pa.string()), pa.array(list(frames.values()), pa.int64())], ["frame", "filled"])
+
+        unfilled = places.where("spoken").groupBy("frame").agg(F.count("*").alias("unfilled"))
+        filled = rows.select("text").mapInArrow(align, "frame string, filled long").join(unfilled.select("frame"), "frame", "left_semi").groupBy("frame").agg(F.sum("filled").alias("filled"))
+        template = unfilled.join(filled, "frame").where(F.col("filled") >= value_share * (F.col("filled") + F.col("unfilled"))).select("frame")
+        slot = slot.unionByName(places.where("spoken").join(template, "frame", "left_semi").select("key", F.lit("slot").alias("kind")))
     return found.unionByName(slot).groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumnRenamed("key", key)

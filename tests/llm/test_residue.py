@@ -38,6 +38,22 @@ def test_mentions_and_slots_in_tables(spark):
     assert find_residue(df.where("false")).collect() == []
 
 
+def test_slots_and_mentions_at_any_size(spark):
+    """Letters that all hold one variable, a one-off slot in a long sentence, mentions with a second string, quoted slots."""
+    rows = [(i, f"Dear {{{{first_name}}}}, the reading number {'abcdefghijkl'[i]} begins on Monday in the large booth beside the old library.") for i in range(12)]
+    rows += [(50, "The recording session for {{book}} will be held on Monday in the large booth")]
+    rows += [(100 + i, f"Before export Juneth replaced the {'{book}' if i == 3 else '{reader_name}'} field in the title template, take {'abcdefgh'[i]}.") for i in range(8)]
+    rows += [(200, 'The credit line of chapter two reads "{{reader}}" on the last page.'), (300, 'The opening words were "{{motto}}" in the old copy.')]
+    rows += [(201 + i, f'The credit line of chapter two reads "{n}" on the last page.') for i, n in enumerate(["Oshelle", "Ilsabet Marr", "Tavish"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {*range(12), 50, 200}
+    assert {r.doc_id for r in find_residue(df).collect()} == expected
+    few = df.where("doc_id IN (0, 1, 50, 100, 103, 200, 201, 300)")
+    assert {r.doc_id for r in find_residue(few).collect()} == {0, 1, 50, 200}
+    many = df.selectExpr("doc_id", "text", "explode(sequence(0, 9)) AS k").selectExpr("doc_id * 10 + k AS doc_id", "text")
+    assert {r.doc_id // 10 for r in find_residue(many).collect()} == expected
+
+
 def test_companions_are_learned(spark):
     rows = [(i, f"404 Not Found\nZum Seitenanfang springen bitte {i}") for i in range(30)] + [(99, GOOD)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
