@@ -17,8 +17,8 @@ from ..session import checkpoint_dir
 
 #: Forms in which template languages, mail merges and authors write a value that is still to come.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>{1,2}"
-    r"|\[(?:insert|your|enter|add)\s[^\[\]\n]{1,60}\]|\[[A-Z][A-Z0-9 _]{1,40}\]|<[A-Za-z][A-Za-z _]{0,40}\shere>|@@[A-Za-z0-9_]{1,40}@@"
+    r"\{\{[^{}\n]{1,300}\}\}|\$\{[^{}\n]{1,300}\}|\{%[^%\n]{1,300}%\}|<%=?[^%\n]{1,300}%>|\[\[[^\[\]\n]{1,300}\]\]|<<[^<>\n]{1,300}>{1,2}"
+    r"|\[(?:insert|your|enter|add)\s[^\[\]\n]{1,300}\]|\[[A-Z][A-Z0-9 _]{1,40}\]|<[A-Za-z][A-Za-z _]{0,40}\shere>|@@[A-Za-z0-9_]{1,40}@@"
     r"|(?<![\w])__[A-Z][A-Z0-9_]{0,40}__(?![\w])|%[A-Z][A-Z0-9_]{1,40}%|#[A-Z][A-Z0-9_]{1,40}#|\{[A-Za-z][A-Za-z0-9_]{0,40}\}|(?<!\w)X{4,}(?!\w)"
     r"|_{4,}|\((?:[a-z]+\s){1,4}to\s(?:follow|come)\)|(?<!\w)(?:TBD|TBA|TBC)(?!\w)|\((?:tbd|tba|insert [a-z ]{1,40})\)|\[\s*\]|\[\.{3}\]",
     re.I,
@@ -259,6 +259,13 @@ DESCRIBED_BEHIND = re.compile(
     r"|^(?:[^\s.;◊]+ ){0,7}?(?:wird|werden|wurde) (?:durch|mit) (?:[^\s◊]+ ){1,5}?(?:ersetzt|ausgetauscht|gefüllt)"
     r"|^(?:[^\s.;◊]+ ){0,7}?(?:se (?:sustituye|reemplaza|cambia)|заменяется|заменяют|заменяем)(?: [^\s◊]+){2}"
 )
+#: What a slot may be left with that isn't a placeholder by itself: a variable's bare name, a field's name as
+#: its default, nothing. Residue only where values stand in the same frame in other records.
+SUSPECT = re.compile(
+    r"(?<![\w./\\@:#$%{<\[-])[A-Za-z]{2,}(?:_[A-Za-z]{2,})+(?![\w/\\@:%}>\]-]|\.\w)|(?<![\w{<\[])[A-Z][a-z]+\s(?:Name|Title|Number|Date|Address)(?![\w}>\]])"
+    r"|(?<=[\w:])[ \t]+(?=[,.;!](?:\s|$))|(?<=:)(?=[,;](?:\s|$))"
+)
+MAY_SUSPECT = re.compile(r"_|\s(?:Name|Title|Number|Date|Address|[,.;!](?:\s|$))|:[,;]")  # stands in each of these
 QUOTES = frozenset("\"'`“”„‘’«»‹›")
 
 
@@ -275,31 +282,53 @@ def slots(text: str) -> list[tuple[str, str, bool, str]]:
     for segment in SEGMENT.split(text):
         if not MAY_HOLD.search(segment):
             continue
-        spans, shape = shaped(segment)
-        k = 0
-        for i, t in enumerate(shape):
-            if t == "◊":
-                (a, b), k = spans[k], k + 1
-                before, behind = around(shape, i, i + 1)
-                word = max((x for x in (*before, *behind) if x.isalpha()), key=lambda x: (len(x), x), default="")
-                spoken = bool(word) and (
-                    (before[1] in QUOTES and behind[0] in QUOTES)
-                    or DESCRIBED_BEFORE.search(" ".join(shape[max(0, i - 9) : i])) is not None
-                    or DESCRIBED_BEHIND.search(" ".join(shape[i + 1 : i + 16])) is not None
-                )
-                found.append((" ".join((*before, "_", *behind)), segment[a:b], spoken, word))
+        spans = placeholders(segment)
+        shape = shaped(segment, spans)
+        for (a, b), i in zip(spans, [i for i, t in enumerate(shape) if t == "◊"]):
+            before, behind = around(shape, i, i + 1)
+            word = longest_word(before, behind)
+            found.append((frame_of(before, behind), segment[a:b], bool(word) and ((before[1] in QUOTES and behind[0] in QUOTES) or described(shape, i)), word))
+    return found
+
+
+def suspects(text: str) -> list[tuple[str, str, bool, str]]:
+    """As slots(), for what a slot may be left with that is no placeholder; all need values in their frames elsewhere."""
+    found = []
+    if not MAY_SUSPECT.search(text):
+        return found
+    for segment in SEGMENT.split(text):
+        if not MAY_SUSPECT.search(segment):
+            continue
+        marks = placeholders(segment)
+        bare = bare_places(segment, marks)
+        if not bare:
+            continue
+        spans = sorted(marks + bare)
+        shape = shaped(segment, spans)
+        for span, i in zip(spans, [i for i, t in enumerate(shape) if t == "◊"]):
+            before, behind = around(shape, i, i + 1)
+            if span in bare and (word := longest_word(before, behind)) and not described(shape, i):
+                found.append((frame_of(before, behind), segment[span[0] : span[1]], True, word))
     return found
 
 
-def shaped(segment: str) -> tuple[list[tuple[int, int]], list[str]]:
-    """The places of a sentence's placeholders, and its tokens with placeholders and numbers masked."""
-    spans = [(m.start(), m.end()) for m in PLACEHOLDER.finditer(segment) if not (NEEDS_UPPER.match(m[0]) and not UPPER.match(m[0]))]
+def placeholders(segment: str) -> list[tuple[int, int]]:
+    return [m.span() for m in PLACEHOLDER.finditer(segment) if not (NEEDS_UPPER.match(m[0]) and not UPPER.match(m[0]))]
+
+
+def bare_places(segment: str, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What looks like a slot's bare name, default or blank, outside placeholders."""
+    return [] if not MAY_SUSPECT.search(segment) else [m.span() for m in SUSPECT.finditer(segment) if not any(a <= m.end() and m.start() <= b for a, b in marks)]
+
+
+def shaped(segment: str, spans: list[tuple[int, int]]) -> list[str]:
+    """A sentence's tokens, with numbers and the given places masked."""
     marked, at = [], 0
     for k, (a, b) in enumerate(spans):
         marked.append(segment[at:a] + f" \x01{k}\x02 ")
         at = b
     tokens = TOKEN.findall("".join([*marked, segment[at:]]).lower())
-    return spans, ["◊" if t[0] == "\x01" else "9" if t.isdigit() else t for t in tokens]
+    return ["◊" if t[0] == "\x01" else "9" if t.isdigit() else t for t in tokens]
 
 
 def around(shape: list[str], i: int, j: int) -> tuple[list[str], list[str]]:
@@ -307,8 +336,21 @@ def around(shape: list[str], i: int, j: int) -> tuple[list[str], list[str]]:
     return (["^", "^", *shape[max(0, i - 2) : i]])[-2:], [*shape[j : j + 2], "$", "$"][:2]
 
 
+def frame_of(before: list[str], behind: list[str]) -> str:
+    """The tokens beside a place; a slot as the farther one may hold anything."""
+    return " ".join(("*" if before[0] == "◊" else before[0], before[1], "_", behind[0], "*" if behind[1] == "◊" else behind[1]))
+
+
+def longest_word(before: list[str], behind: list[str]) -> str:
+    return max((x for x in (*before, *behind) if x.isalpha() and x != "◊"), key=lambda x: (len(x), x), default="")
+
+
+def described(shape: list[str], i: int) -> bool:
+    return DESCRIBED_BEFORE.search(" ".join(shape[max(0, i - 9) : i])) is not None or DESCRIBED_BEHIND.search(" ".join(shape[i + 1 : i + 16])) is not None
+
+
 def values(text: str, words: frozenset[str], automaton: ahocorasick.Automaton, longest: int = 6) -> list[str]:
-    """The frames, with one of the words, in which up to `longest` tokens stand that hold no placeholder."""
+    """The frames, with one of the words, in which up to `longest` tokens stand that hold no placeholder or bare name."""
     found = []
     low = text.lower()
     if next(automaton.iter(low), None) is None:
@@ -316,14 +358,15 @@ def values(text: str, words: frozenset[str], automaton: ahocorasick.Automaton, l
     for segment in SEGMENT.split(text):
         if next(automaton.iter(segment.lower()), None) is None:
             continue
-        shape = shaped(segment)[1]
+        marks = placeholders(segment)
+        shape = shaped(segment, sorted(marks + bare_places(segment, marks)))
         hits = [k for k, t in enumerate(shape) if t in words]
         gaps = {(i, i + n) for k in hits for i in (k + 1, k + 2) for n in range(1, longest + 1)}
         gaps |= {(j - n, j) for k in hits for j in (k, k - 1) for n in range(1, longest + 1)}
         for i, j in gaps:
             if 0 <= i and j <= len(shape) and "◊" not in shape[i:j]:
-                before, behind = around(shape, i, j)
-                found.append(" ".join((*before, "_", *behind)))
+                (a, b), (c, d) = around(shape, i, j)
+                found += {f"{x} {b} _ {c} {y}" for x in (a, "*") for y in (d, "*")}
     return found
 
 
@@ -332,7 +375,8 @@ def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", va
 
     Slots: a placeholder is residue unless it is spoken of, that is quoted, or described by the words beside it, as
     'the {name} field' is. Sentences of all records are aligned by the two tokens on either side of those: where values
-    stand in at least `value_share` of the places with the same frame, it is a slot of a template nevertheless. Both are
+    stand in at least `value_share` of the places with the same frame, it is a slot of a template nevertheless. So is, in
+    such a frame, a variable's bare name, a field's name or nothing before a mark (see SUSPECT). Both are
     shares and words of the sentence, so the answer doesn't depend on how many records there are. Pages: texts made up of the phrases of error pages and notices, together with what recurs in at
     least `companion_share` of the pages that have such phrases (so at most phrases of a page / companion_share texts are
     learned). Null texts give no row, empty or blank ones are stubs; whole texts are read; repeated documents count each.
@@ -352,7 +396,7 @@ def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", va
             out = []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 kind, rest = page_shape(t)
-                places = slots(t)
+                places = slots(t) + suspects(t)
                 if kind or rest or places:
                     out.append((i, kind, rest, [dict(zip(("frame", "filler", "spoken", "word"), p)) for p in places]))
             at = pa.array([o[0] for o in out], pa.int64())

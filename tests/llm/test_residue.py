@@ -54,6 +54,15 @@ def test_slots_and_mentions_at_any_size(spark):
     assert {r.doc_id // 10 for r in find_residue(many).collect()} == expected
 
 
+def test_slots_left_with_names_defaults_or_nothing(spark):
+    names = ["Oshelle", "Ilsabet Marr", "Tavish", "Juneth", "Perrit", "Maruk"]
+    rows = [(i, f"Reader: {n}, recorded at the small booth.\nDear {n}, thank you for reading the {n} chapters.") for i, n in enumerate(names)]
+    rows += [(50, "Dear first_name, thank you for reading."), (51, "Reader: , recorded at the small booth."), (52, "Dear Reader Name, thank you for reading."), (53, "Dear , thank you for reading.")]
+    rows += [(60, "The desk keeps file_name apart from the rest."), (61, "Juneth filled the reader_name field, thank you."), (62, "Dear " + "{{" + "name of the reader as it stands in the contract or in the list of readers of this year" + "}}" + ", hello.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in find_residue(df).collect()} == {50, 51, 52, 53, 62}
+
+
 def test_companions_are_learned(spark):
     rows = [(i, f"404 Not Found\nZum Seitenanfang springen bitte {i}") for i in range(30)] + [(99, GOOD)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
