@@ -111,7 +111,7 @@ CORE_RE, AROUND_RE, STUB_RE = _cover(CORE), _cover(AROUND), _cover(STUBS)
 HINTS = [
     "unauthori", "forbidden", "not found", "bad request", "method not", "timeout", "time-out", "gone", "too many req", "internal server", "bad gateway", "unavailable", "moved", "error", "http", "status", "denied",
     "located", "displayed", "be found", "does not exist", "no longer", "expired", "removed", "went wrong", "looking for", "authori", "allowed", "permi", "sign in", "log in", "session", "respond", "too long", "refused",
-    "overloaded", "is down", "offline", "maintenance", "unexpected", "encountered", "timed out", "establishing", "exception", "warning", "notice", "traceback", "slow down", "script", "turn it on", "checking your browser",
+    "overloaded", "is down", "offline", "maintenance", "unexpected", "encountered", "timed out", "establishing", "exception", "warning", "notice", "traceback", "slow down", "script", "turn it on", "checking your browser", "code",
     "nicht", "verweigert", "abgelaufen", "serverfehler", "fehler", "encontrada", "denegado", "caducado", "responde", "interno", "javascript", "scripts", "inténtelo", "intentelo",
     "найдена", "доступ", "ошибка", "сервер", "сессия", "скрипты", "नहीं मिला", "अस्वीकृत", "सर्वर", "बाद में", "जावास्क्रिप्ट", "सत्र",
 ]
@@ -196,6 +196,10 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def normal(piece: str) -> str:
+    return re.sub(r"\d+", "9", piece).strip(" .,:;!?|()-। ")
+
+
 def page_shape(text: str, companions: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
     """What a whole text is: 'page', 'filler', 'stub' or ''; and, where it has a core phrase, what no phrase covers.
 
@@ -213,9 +217,10 @@ def page_shape(text: str, companions: frozenset[str] = frozenset()) -> tuple[str
         return "filler", []
     if stub_letters >= 0.9 * total and is_stub(plain, total):
         return "stub", []
-    covered, open_letters, rest, prose = 0, 0, [], False
+    covered, open_letters, rest, prose, at = 0, 0, [], False, 0
     limit = 0.1 * total
     for segment in segments(plain):
+        at = plain.index(segment, at) + len(segment)
         size = letters(segment)
         if not size:
             continue
@@ -229,17 +234,16 @@ def page_shape(text: str, companions: frozenset[str] = frozenset()) -> tuple[str
         prose = prose or (hit > 0 and letters(left) > 0.3 * size)  # a sentence that only holds a phrase
         for piece in left.split("¦"):
             if n := letters(piece):
-                if covered or companions:
-                    piece = re.sub(r"\d+", "9", piece).strip(" .,:;!?|()-।")
                 rest.append(piece)
-                if piece not in companions:
+                if not companions or normal(piece) not in companions:
                     open_letters += n
-        if open_letters > (limit if covered < 3 or companions or total > 1000 else 0.85 * total):
+        # what stands before the first phrase is learned as well, where a phrase may still come
+        if open_letters > limit and (companions or total > 1000 or open_letters > 0.85 * total or (covered < 3 and next(HINT.iter(plain, at), None) is None)):
             return "", []
-    rest = [] if prose else rest
+    rest = [] if prose or covered < 3 else list(map(normal, rest))
     if covered >= 3 and open_letters <= 0.1 * total:
         return "page", rest
-    return "", rest if covered >= 3 else []
+    return "", rest
 
 
 MAY_HOLD = re.compile(r"[{\[<@%#]|__|XXX|to follow|to come|TB[ACD]|tb[acd]|\(insert", re.I)

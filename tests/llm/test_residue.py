@@ -67,3 +67,10 @@ def test_companions_are_learned(spark):
     rows = [(i, f"404 Not Found\nZum Seitenanfang springen bitte {i}") for i in range(30)] + [(99, GOOD)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in find_residue(df).collect()) == list(range(30))
+
+
+def test_titles_above_the_phrase_are_learned(spark):
+    rows = [(i, f"Klangbibliothek Nordlicht, Verzeichnis {i}\n404 Not Found") for i in range(30)] + [(99, GOOD), (100, "Klangbibliothek Nordlicht, Verzeichnis 7\n" + GOOD)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in find_residue(df).collect()) == list(range(30))
+    assert page_shape("Code: 503")[0] == "page"
