@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import checkpoint_dir, spread, table
 from .mixing import mix
 from .packing import pack
 from .tokens import token_sizes
@@ -25,21 +25,39 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return total.join(F.broadcast(capacity), "pack").withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", F.regexp_extract("path", "^narration/[^/]*/([^/]*)/", 1).alias("topic"))
     sizes = token_sizes(spread(docs), ["doc_id", "lang", "source", "topic"])
     targets = [(r.source, r.target_share, r.max_repeat) for r in table(spark, d, "mix_target").collect()]
-    return mix(sizes, targets, key="doc_id", source="source", language="lang", topic="topic", size="n_tokens")
+    total = None
+    if whole:
+        checkpoint_dir(spark)
+        sizes = sizes.checkpoint()  # the tokens are counted once
+        listed = [s for s, share, _ in targets if s is not None and share is not None and share > 0]
+        total = sizes.where(F.col("source").isin(listed)).agg(F.sum("n_tokens")).first()[0] or 0
+    return mix(sizes, targets, key="doc_id", source="source", language="lang", topic="topic", size="n_tokens", total_tokens=total)
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[0]
 
 
-def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    report = _mixture(spark, d)[1]
+def _shares(report: DataFrame) -> DataFrame:
     return report.select("source", "target_share", F.round("actual_share", 6).alias("actual_share"), "tokens", "documents", "available_tokens", "max_repeat", "most_copies", "limited")
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(_mixture(spark, d)[1])
+
+
+def p7_whole_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture at the size of all available tokens of the listed sources; small sources are repeated up to their limits."""
+    return _mixture(spark, d, whole=True)[0]
+
+
+def p7_whole_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(_mixture(spark, d, whole=True)[1])
+
+
+QUERIES = {"p6_packed": p6_packed, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_whole_mixture": p7_whole_mixture, "p7_whole_shares": p7_whole_shares}
 SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ import pytest
 
 from lectern.llm.mixing import mix, rake
 from lectern.llm.packing import pack, sum_of_squares
+from lectern.llm.queries_budget import QUERIES
 from lectern.llm.tokens import VOCABULARY, token_sizes
 
 
@@ -79,6 +80,19 @@ def test_mixture(spark):
     assert empty.count() == 0 and all(r.tokens == 0 for r in nothing.collect())
 
 
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
+def test_whole_mixture_has_all_available_tokens(spark, tmp_path):
+    text = "The reader was tired before lunch, so only a few verses were split. "
+    rows = [(i, text * 5, "en", "big", "narration/a/b/c") for i in range(200)] + [(1000 + i, text, "en", "scarce", "narration/a/b/c") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, path string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 3), ("scarce", 0.5, 4)], "source string, target_share double, max_repeat int").write.parquet(f"{tmp_path}/mix_target.parquet")
+    got = {r.source: r for r in QUERIES["p7_whole_shares"](spark, str(tmp_path)).collect()}
+    available = sum(r.available_tokens for r in got.values())
+    assert got["scarce"].limited and got["scarce"].tokens == 4 * got["scarce"].available_tokens and not got["big"].limited
+    assert sum(r.tokens for r in got.values()) == pytest.approx(available, rel=0.01)
+    assert QUERIES["p7_whole_mixture"](spark, str(tmp_path)).count() == sum(r.documents for r in got.values())
+
+
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "hello world", 7), (2, None, 7), (3, "", 7), (4, "नमस्ते " * 1000, 7)], "id int, text string, n_tokens int")
