@@ -510,9 +510,9 @@ def repair_scripts(scripts: DataFrame, names: list[str], *, key: str = "script_i
     """(key, noise array<struct<line_no, noise>>, paragraphs array<struct<para_no, verse, text>>) of each script.
 
     The words and running headers of all scripts are learned first (see word_counts and header_templates, which say why
-    what is sent to the tasks is bounded). A script is then read as a stream of characters without its line ends: known
-    words are fixed points, and between them the most probable path through splits, merges, confusions and hyphens is
-    decoded. A null or empty text gives empty arrays, and repeated scripts are repaired each. `names` are the titles
+    what is sent to the tasks is bounded). Each token that isn't a known word is then decoded alone by its strokes, or cut
+    into known words; words broken at a line's end are joined. There is no joint decoding of the text without its line
+    ends, so words split by a stray blank stay split. A null or empty text gives empty arrays, and repeated scripts are repaired each. `names` are the titles
     that running headers may hold. Other columns don't matter.
     """
     rows = scripts.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("raw"))
