@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .residue_pages import LOREM, SEGMENT, PageTemplates, automaton, dummy_words, isolation, page_cover, parts, plain, seeded, whole
 
 #: Forms in which template languages, mail merges and authors write a value that is still to come.
 PLACEHOLDER = re.compile(
@@ -26,226 +26,6 @@ PLACEHOLDER = re.compile(
 #: Those of the forms above that are case-sensitive, and must be upper case.
 UPPER = re.compile(r"^(?:\[[A-Z][A-Z0-9 _]+\]|__[A-Z][A-Z0-9_]*__|%[A-Z][A-Z0-9_]+%|#[A-Z][A-Z0-9_]+#|X{4,}|TB[DAC])$")
 NEEDS_UPPER = re.compile(r"^(?:\[(?!(?i:insert|your|enter|add)\s)[A-Za-z][A-Za-z0-9 _]+\]|__\w+__|%\w+%|#\w+#|[Xx]{4,}|[Tt][Bb][DACdac])$")
-_THING = r"(?:page|file|chapter|recording|transcript|script page|reading|address|document|resource|site|content|link|item)"
-_STATUS = (
-    r"(?:bad request|unauthori[sz]ed|forbidden|not found|method not allowed|request timeout|gone|too many requests|internal server error|"
-    r"bad gateway|service unavailable|service temporarily unavailable|gateway time-?out|moved permanently)"
-)
-_SCRIPTS = r"(?:javascript|java script|scripts|scripting|active scripts|browser scripts|active scripting|scripts and cookies|cookies and scripts)"
-_ACT = (
-    r"(?:(?:view|open|hear|read|see|use|load|access|download|listen to|play|visit|enter) "
-    r"(?:this|the|that|our)(?: [a-z]+){1,2}|continue|proceed|run this app)"
-)
-_GO = r"(?:enable|activate|allow|turn on|switch on|unblock)"
-#: What error pages and notices about scripts say; each must make up whole sentences of a page.
-CORE = [
-    r"service temporarily unavailable,? try again in a few minutes",
-    rf"(?:http(?:/\d(?:\.\d)?)?|status|error|http error|error code|code)[ :#-]*[1-5]\d\d(?:[ :.-]*{_STATUS})?|[1-5]\d\d[ :.-]*{_STATUS}",
-    _STATUS,
-    r"(?:error|http error|status|http)[ :#]*\d{3}",
-    r"access (?:is |was )?denied",
-    rf"(?:the|this|that) {_THING} (?:you (?:asked for|requested|are looking for|were looking for|followed a link to) )?(?:could not be (?:located|found)|cannot be (?:displayed|found)|can't be (?:displayed|found)|does not exist|was not found|is no longer (?:here|available)|has expired|was moved|has been (?:moved|removed)(?: or the link is broken)?)",
-    rf"(?:(?:we are |we're )?sorry|unfortunately|hmm|oops)[,!]? (?:but )?(?:the|this|that) {_THING} (?:you (?:asked for|requested|are looking for|were looking for|followed a link to) )?(?:could not be (?:located|found)|cannot be (?:displayed|found)|can't be (?:displayed|found)|does not exist|was not found|is no longer (?:here|available)|has expired|was moved|has been (?:moved|removed)(?: or the link is broken)?)",
-    r"(?:oops[!,]? )?something went wrong(?: on our (?:side|end))?",
-    r"we could not find what you were looking for",
-    rf"you (?:are not (?:authori[sz]ed|allowed|permitted)|do not have (?:permission|access)|don't have permission|must (?:sign|log) in|need to (?:sign|log) in) to (?:view|open|hear|read|see|download|access|use|play) (?:this|the) {_THING}",
-    r"your session has (?:expired|ended|timed out)", r"please (?:sign|log) in again",
-    r"(?:our|the) (?:player|server|site|archive|gateway|database|service|system|page) (?:did not respond|took too long to answer|refused the connection|is down for maintenance|is (?:overloaded|down|unavailable|offline)|ran into an unexpected condition|encountered an error)(?: (?:right now|while handling your request|and the request failed|at the moment))?(?: - please retry)?",
-    r"request timed out(?: while loading (?:the|this) [a-z]+)?",
-    r"error establishing a database connection",
-    r"(?:fatal error|parse error|syntax error|warning|notice|unhandled exception|uncaught exception|exception|traceback)[: ]+[a-z_ .'()-]{3,80}(?: at| on| in)? line \d+",
-    r"your browser (?:blocks|does not support|has disabled) (?:scripts|javascript)(?:, so the [a-z ]{3,30} cannot be (?:shown|loaded|played))?",
-    r"slow down and retry later",
-    rf"(?:please|kindly|you (?:have|need) to|you must|visitors must|users must) {_GO} (?:{_SCRIPTS})(?: in your browser| for this site| and reload)*(?: to {_ACT})?",
-    rf"without (?:{_SCRIPTS}) it is not possible to {_ACT}",
-    rf"it (?:appears|seems|looks like) that (?:{_SCRIPTS}) (?:are|is) (?:off|disabled|blocked), which means you (?:cannot|can't) {_ACT}",
-    r"(?:this|our) (?:player|site|page|app|viewer) (?:needs|requires) (?:scripts|javascript)(?: to be (?:turned on|enabled|allowed))?(?: in your browser)?",
-    r"(?:sorry, )?the (?:transcript viewer|player|site|page|viewer|archive) does not work without (?:javascript|scripts)",
-    r"javascript is (?:disabled|off|blocked|required)", r"turn it on and reload to hear the chapter", r"scripts and cookies must be allowed",
-    r"checking your browser before opening the (?:archive|site|page)",
-    # de
-    r"seite nicht gefunden", r"zugriff verweigert", r"die sitzung ist abgelaufen", r"interner serverfehler(?: \(\d{3}\))?",
-    r"bitte (?:aktivieren|erlauben) sie (?:javascript|skripte),? um diese seite anzuzeigen", r"(?:fehler|error) \d{3}(?:: seite nicht gefunden)?", r"der server antwortet nicht",
-    r"ohne (?:skripte|javascript) kann (?:der|die|das) [a-zäöüß]+ nicht (?:geladen|angezeigt|abgespielt) werden",
-    # es
-    r"(?:error \d{3}: )?p[áa]gina no encontrada", r"acceso denegado", r"su sesi[óo]n ha caducado", r"el servidor no responde", r"error interno del servidor", r"int[ée]ntelo m[áa]s tarde",
-    r"active javascript para ver esta p[áa]gina", r"este reproductor requiere que los scripts est[ée]n habilitados",
-    # ru
-    r"страница не найдена", r"доступ запрещ[её]н", r"внутренняя ошибка сервера", r"сервер не отвечает", r"включите javascript,? чтобы открыть эту страницу", r"ваша сессия истекла", r"для работы (?:плеера|сайта|страницы) нужны скрипты",
-    # hi
-    r"पृष्ठ नहीं मिला(?: \(\d{3}\))?", r"पहुँच अस्वीकृत", r"सर्वर में त्रुटि हुई", r"बाद में प्रयास करें", r"इस पृष्ठ को देखने के लिए जावास्क्रिप्ट चालू करें", r"सत्र समाप्त हो गया",
-]
-#: What such pages hold beside.
-AROUND = [
-    r"[1-5]\d\d", r"if the problem persists contact the administrator", r"check the address and try again", r"reference number \d+", r"request id: ?[0-9a-f]+", r"nginx", r"apache", r"go back", r"retry", r"reload",
-    r"return to the home page", r"loading", r"menu", r"help", r"skip to content", r"chapter player", r"audio archive", r"reading room", r"please retry", r"try again", r"back", r"home", r"oops",
-]
-#: Stubs that announce a text instead of holding one.
-STUBS = [
-    r"\(?(?:empty|blank) (?:template|page|document|section|chapter|note|notes|text)\)?", r"(?:notes|text|content|script|transcript|chapter|details|description|page|section|entry) (?:pending|to follow|to come|goes here|coming soon|missing|tba|tbd)",
-    r"(?:please )?check back (?:later|soon)", r"coming soon", r"to be (?:added|written|completed|announced|done|continued)", r"todo:? [a-z ]{3,40}", r"todo", r"tbd", r"under construction", r"no (?:content|text|notes|description) (?:yet|available)",
-    r"(?:write|add|insert|type|put) (?:your )?(?:text|content|notes|title|script)(?: text)? here", r"your text here", r"type the [a-z]+ here", r"replace this [a-z]+ with your own [a-z]+", r"placeholder(?: text)?", r"sample text", r"draft", r"no text yet", r"content to be added", r"this is (?:dummy|sample|placeholder) (?:content|text)(?: for (?:the )?layout)?", r"untitled", r"n/?a", r"null", r"undefined", r"none",
-]
-#: Words of which each stub phrase above holds one.
-STUB_WORDS = frozenset(
-    "empty blank pending follow come here soon missing tba tbd added written completed announced done continued todo construction yet available "
-    "replace placeholder sample draft dummy untitled n na null undefined none".split()
-)
-#: Words of filler text.
-LOREM = set(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
-    "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
-    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "porta mentis orci dolum nox finis ante tempus cras tibi quora serra velum vel lacus nullis".split()
-)
-SEGMENT = re.compile(r"\n+|\s\|\s|(?<=[.!?।])\s+")
-
-
-def _cover(patterns: list[str]) -> re.Pattern:
-    edge = r"(?<![^\W_])", r"(?![^\W_])"
-    return re.compile("|".join(f"{edge[0]}(?:{p}){edge[1]}" for p in patterns))
-
-
-CORE_RE, AROUND_RE, STUB_RE = _cover(CORE), _cover(AROUND), _cover(STUBS)
-#: Strings without which a sentence can't hold a core phrase; each pattern above has one of them in every reading.
-HINTS = [
-    "unauthori", "forbidden", "not found", "bad request", "method not", "timeout", "time-out", "gone", "too many req", "internal server", "bad gateway", "unavailable", "moved", "error", "http", "status", "denied",
-    "located", "displayed", "be found", "does not exist", "no longer", "expired", "removed", "went wrong", "looking for", "authori", "allowed", "permi", "sign in", "log in", "session", "respond", "too long", "refused",
-    "overloaded", "is down", "offline", "maintenance", "unexpected", "encountered", "timed out", "establishing", "exception", "warning", "notice", "traceback", "slow down", "script", "turn it on", "checking your browser", "code",
-    "nicht", "verweigert", "abgelaufen", "serverfehler", "fehler", "encontrada", "denegado", "caducado", "responde", "interno", "javascript", "scripts", "inténtelo", "intentelo",
-    "найдена", "доступ", "ошибка", "сервер", "сессия", "скрипты", "नहीं मिला", "अस्वीकृत", "सर्वर", "बाद में", "जावास्क्रिप्ट", "सत्र",
-]
-
-
-def _automaton(words: list[str]) -> ahocorasick.Automaton:
-    made = ahocorasick.Automaton()
-    for w in words:
-        made.add_word(w, w)
-    made.make_automaton()
-    return made
-
-
-HINT = _automaton(HINTS)
-
-
-def letters(text: str) -> int:
-    return sum(map(str.isalnum, text))
-
-
-def is_filler(plain: str) -> tuple[bool, float]:
-    """Whether a whole text is filler (Latin dummy words, keys of one row, one word or one line repeated), and how many
-    letters stub phrases can cover in it at most, by its words.
-
-    Words are counted over the whole text, in one pass; reading stops early only where what is left, taken as words of one
-    letter, couldn't bring any count to its limit. What stands beside the filler, like a heading, counts against it.
-    """
-    counts: Counter[str] = Counter()
-    n = latin = long = keys = at = 0
-    while at < len(plain):
-        end = plain.find(" ", at + 8192) if at + 8192 < len(plain) else -1
-        end = len(plain) if end < 0 else end
-        words = WORD.findall(plain, at, end)
-        at = end
-        counts.update(words)
-        dummy = list(filter(LOREM.__contains__, words))
-        n, latin, long = n + len(words), latin + len(dummy), long + sum(len(w) > 3 for w in dummy)
-        keys += sum(not w.strip(KEYS) for w in words)
-        left = (len(plain) - at + 1) // 2
-        if left and latin + left < 0.7 * (n + left) and keys + left < 0.8 * (n + left) and len(counts) > 8 + 0.2 * (n + left):
-            return False, math.inf
-    stub = sum(counts[w] for w in STUB_WORDS & counts.keys())
-    stub *= 44 + 2 * max(map(len, counts)) if stub else 0  # the longest phrase, and two words that may be any
-    if n < 3:
-        return False, stub
-    if n >= 4 and ((len(counts) > 3 and latin >= 0.7 * n and long >= 0.3 * n) or keys >= 0.8 * n):
-        return True, stub
-    if len(counts) * 3 > n or len(counts) > 8 + 0.2 * n:
-        return False, stub
-    if n >= 4 and max(counts.values()) >= 0.8 * n:
-        return True, stub
-    pieces = Counter(re.sub(r"\d+", "9", x).strip() for x in re.split(r"\n|;|[.!?](?:\s|$)", plain) if letters(x))
-    if len(counts) <= 8:
-        return pieces.total() >= 3 and len(pieces) * 3 <= pieces.total(), stub
-    # a repeated line of few words under other text, which is a fifth of the words at most
-    often = {x: WORD.findall(x) for x, k in pieces.items() if k >= 3}
-    return sum(pieces[x] * len(w) for x, w in often.items()) >= 0.8 * n and len({w for x in often.values() for w in x}) <= 8, stub
-
-
-KEYS = "asdfjkl"
-WORD = re.compile(r"[^\W\d_]+")
-GAPS = re.compile(r"\s+")
-
-
-def is_stub(plain: str, total: int) -> bool:
-    """Whether stub phrases make up nine tenths of a whole text's letters; read until too many others were seen."""
-    flat, at, others = GAPS.sub(" ", plain), 0, 0
-    for m in STUB_RE.finditer(flat):
-        others += letters(flat[at : m.start()])
-        if others > 0.1 * total:
-            return False
-        at = m.end()
-    return others + letters(flat[at:]) <= 0.1 * total
-
-
-def segments(text: str) -> Iterator[str]:
-    """Sentences and lines, one after the other, so that a reader may stop early."""
-    at = 0
-    for m in SEGMENT.finditer(text):
-        yield text[at : m.start()]
-        at = m.end()
-    yield text[at:]
-
-
-def normal(piece: str) -> str:
-    return re.sub(r"\d+", "9", piece).strip(" .,:;!?|()-। ")
-
-
-def page_shape(text: str, companions: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
-    """What a whole text is: 'page', 'filler', 'stub' or ''; and, where it has a core phrase, what no phrase covers.
-
-    A page is an error page or a notice when known phrases make up nine tenths of its letters; the phrases must begin
-    and end at word limits, so ordinary prose that mentions them leaves most of its letters uncovered. Where a sentence
-    merely holds a phrase nothing is returned as beside it. Sentences are read one by one until too much is uncovered for
-    the whole text to be a page, which for prose is soon.
-    """
-    plain = unicodedata.normalize("NFC", text).lower().strip()
-    total = letters(plain)
-    if total == 0:
-        return "stub", []
-    filler, stub_letters = is_filler(plain)
-    if filler:
-        return "filler", []
-    if stub_letters >= 0.9 * total and is_stub(plain, total):
-        return "stub", []
-    covered, open_letters, rest, prose, at = 0, 0, [], False, 0
-    limit = 0.1 * total
-    for segment in segments(plain):
-        at = plain.index(segment, at) + len(segment)
-        size = letters(segment)
-        if not size:
-            continue
-        left, hit = segment, 0
-        if next(HINT.iter(segment), None):
-            left = CORE_RE.sub(" ¦ ", GAPS.sub(" ", segment))
-            hit = size - letters(left)
-            covered += hit
-        if covered or len(segment) <= 60:
-            left = AROUND_RE.sub(" ¦ ", GAPS.sub(" ", left))
-        prose = prose or (hit > 0 and letters(left) > 0.3 * size)  # a sentence that only holds a phrase
-        for piece in left.split("¦"):
-            if n := letters(piece):
-                rest.append(piece)
-                if not companions or normal(piece) not in companions:
-                    open_letters += n
-        # what stands before the first phrase is learned as well, where a phrase may still come
-        if open_letters > limit and (companions or total > 1000 or open_letters > 0.85 * total or (covered < 3 and next(HINT.iter(plain, at), None) is None)):
-            return "", []
-    rest = [] if prose or covered < 3 else list(map(normal, rest))
-    if covered >= 3 and open_letters <= 0.1 * total:
-        return "page", rest
-    return "", rest
-
-
 MAY_HOLD = re.compile(r"[{\[<@%#]|__|XXX|to follow|to come|TB[ACD]|tb[acd]|\(insert", re.I)
 TOKEN = re.compile(r"\x01\d+\x02|[^\W\d_]+|\d+|[^\w\s]")
 _NAMED = (
@@ -263,13 +43,15 @@ DESCRIBED_BEHIND = re.compile(
     r"|^(?:[^\s.;◊]+ ){0,7}?(?:wird|werden|wurde) (?:durch|mit) (?:[^\s◊]+ ){1,5}?(?:ersetzt|ausgetauscht|gefüllt)"
     r"|^(?:[^\s.;◊]+ ){0,7}?(?:se (?:sustituye|reemplaza|cambia)|заменяется|заменяют|заменяем)(?: [^\s◊]+){2}"
 )
-#: What a slot may be left with that isn't a placeholder by itself: a variable's bare name, a field's name as
-#: its default, nothing. Residue only where values stand in the same frame in other records.
+#: What a slot may be left with that isn't a placeholder by itself: a variable's name, bare or with the mark
+#: of a query, shell or mail language, a field's name as its default, nothing. Residue only where values stand in the same
+#: frame in other records.
 SUSPECT = re.compile(
+    r"(?<![\w$])\$[A-Za-z_]\w*|%\([A-Za-z_]\w*\)[a-z]|(?<!\S):[A-Za-z_]\w*(?![:\w])|\*\|\w+\|\*|(?<![\w~])~[A-Za-z_]+~(?![\w~])|(?<!\w)[Yy]our (?:[Ff]ull |[Ff]irst )?(?:[Nn]ame|[Tt]itle|[Nn]umber|[Dd]ate|[Aa]ddress)(?!\w)|"
     r"(?<![\w./\\@:#$%{<\[-])[A-Za-z]{2,}(?:_[A-Za-z]{2,})+(?![\w/\\@:%}>\]-]|\.\w)|(?<![\w{<\[])[A-Z][a-z]+\s(?:Name|Title|Number|Date|Address)(?![\w}>\]])"
-    r"|(?<=[\w:])[ \t]+(?=[,.;!](?:\s|$))|(?<=:)(?=[,;](?:\s|$))"
+    r"|(?<=[\w:])[ \t]+(?=[,.;!](?:\s|$))|(?<=:)(?=[,;](?:\s|$))|(?<=\w:)[ \t]*$"
 )
-MAY_SUSPECT = re.compile(r"_|\s(?:Name|Title|Number|Date|Address|[,.;!](?:\s|$))|:[,;]")  # stands in each of these
+MAY_SUSPECT = re.compile(r"_|\$[A-Za-z]|%\(|\s:[A-Za-z]|\*\||~|\s(?:[Nn]ame|[Tt]itle|[Nn]umber|[Dd]ate|[Aa]ddress|[,.;!](?:\s|$))|:[,;]|:[ \t]*(?:\n|$)")  # stands in each of these
 QUOTES = frozenset("\"'`“”„‘’«»‹›")
 
 
@@ -374,71 +156,127 @@ def values(text: str, words: frozenset[str], automaton: ahocorasick.Automaton, l
     return found
 
 
-def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", value_share: float = 0.5, companion_share: float = 0.005) -> DataFrame:
+def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", value_share: float = 0.5, template_share: float = 0.001, word_share: float = 0.2) -> DataFrame:
     """(key, kinds): the documents with residue and what was found: 'slot', 'filler', 'stub', 'page', sorted.
 
-    Slots: a placeholder is residue unless it is spoken of, that is quoted, or described by the words beside it, as
-    'the {name} field' is. Sentences of all records are aligned by the two tokens on either side of those: where values
+    Slots: sentences of all records are aligned by the two tokens on either side of a place. A placeholder is residue
+    unless it is spoken of, that is quoted, or described by the words beside it, as 'the {name} field' is; where values
     stand in at least `value_share` of the places with the same frame, it is a slot of a template nevertheless. So is, in
-    such a frame, a variable's bare name, a field's name or nothing before a mark (see SUSPECT). Both are
-    shares and words of the sentence, so the answer doesn't depend on how many records there are. Pages: texts made up of the phrases of error pages and notices, together with what recurs in at
-    least `companion_share` of the pages that have such phrases (so at most phrases of a page / companion_share texts are
-    learned). Null texts give no row, empty or blank ones are stubs; whole texts are read; repeated documents count each.
-    Frames are counted with partial counts, so a template that fills a third of the corpus isn't gathered anywhere; only
-    found candidates, not texts, are shuffled. What is sent to the tasks for the alignment is a word of each frame of a
-    placeholder spoken of, so no more than the vocabulary. Other columns don't matter.
+    such a frame, a variable's name, a default or nothing (see SUSPECT).
+
+    Pages: standard phrases of servers and browsers are the seeds. Of all texts that hold one, sentences and lines are
+    counted as skeletons, also with one span open, and what stands around seeds. Those in at least `template_share` of
+    these texts are templates, at most (skeletons of a text) / template_share. A template belongs to pages where most
+    texts with it consist of seeds and such templates otherwise, so a sentence that speaks of an error, and stands in
+    prose, doesn't. A page is a text of which seeds and templates of pages cover nine tenths; a text without any seed is
+    one only if its templates stand together with seeds in a tenth of the covered texts.
+
+    Filler: dummy words are learned from texts with the standard passage, those in `word_share` of them. All limits are
+    shares, so the answer doesn't depend on how many records there are, but below 3 texts nothing is learned.
+
+    Null texts give no row, empty or blank ones are stubs; whole texts are read; repeated documents count each. Only found
+    candidates, not texts, are shuffled, with partial counts, so a template that fills a third of the corpus isn't gathered
+    anywhere. Besides templates, a word of each frame of a placeholder spoken of is sent to the tasks, no more than the
+    vocabulary. Other columns don't matter.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     key_type = rows.schema["key"].dataType.simpleString()
-    slot_type = "array<struct<frame:string,filler:string,spoken:boolean,word:string>>"
-    arrow_slots = pa.list_(pa.struct([("frame", pa.string()), ("filler", pa.string()), ("spoken", pa.bool_()), ("word", pa.string())]))
+    place = pa.list_(pa.struct([("frame", pa.string()), ("filler", pa.string()), ("spoken", pa.bool_()), ("word", pa.string())]))
+    piece = pa.struct([("s", pa.string()), ("n", pa.int64())])
+    segment = pa.list_(pa.struct([("keys", pa.list_(pa.string())), ("n", pa.int64()), ("closed", pa.int64()), ("pieces", pa.list_(piece))]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                kind, rest = page_shape(t)
+                low = plain(t)
+                kind, dummy, hit = whole(low), dummy_words(low), seeded(low)
                 places = slots(t) + suspects(t)
-                if kind or rest or places:
-                    out.append((i, kind, rest, [dict(zip(("frame", "filler", "spoken", "word"), p)) for p in places]))
-            at = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.list_(pa.string())), pa.array([o[3] for o in out], arrow_slots), pa.array([sum(len(r) for r in o[2]) for o in out], pa.int64())],
-                ["key", "kind", "rest", "places", "rest_size"],
-            )
-
-    seen = rows.mapInArrow(scan, f"key {key_type}, kind string, rest array<string>, places {slot_type}, rest_size long").checkpoint()
-    # pages: what recurs beside core phrases
-    partly = seen.where("kind = '' AND size(rest) > 0")
-    n_pages = seen.where("kind = 'page' OR size(rest) > 0").count()
-    least = max(5, math.ceil(n_pages * companion_share))
-    recurring = partly.select("key", F.explode(F.array_distinct("rest")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    companions = frozenset(r.s for r in recurring.collect())
+                if kind or dummy or hit or places:
+                    out.append((i, kind, [dict(zip(("frame", "filler", "spoken", "word"), p)) for p in places], parts(hit) if hit else None, [{"s": w, "n": n} for w, n in dummy[0].items()] if dummy else None, dummy[1] if dummy else None))
+            at, kinds, places, hits, words, shares = zip(*out) if out else ((),) * 6
+            columns = [pa.array(kinds, pa.string()), pa.array(places, place), pa.array(hits, segment), pa.array(words, pa.list_(piece)), pa.array(shares, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["key", "kind", "places", "hits", "words", "share"])
+
+    schema = (
+        f"key {key_type}, kind string, places array<struct<frame:string,filler:string,spoken:boolean,word:string>>, "
+        "hits array<struct<keys:array<string>,n:bigint,closed:bigint,pieces:array<struct<s:string,n:bigint>>>>, words array<struct<s:string,n:bigint>>, share double"
+    )
+    seen = rows.mapInArrow(scan, schema).checkpoint()
     found = seen.where("kind <> ''").select("key", "kind")
-    if companions:
-
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kinds = [page_shape(t, companions)[0] for t in batch.column(1).to_pylist()]
-                at = pa.array([i for i, k in enumerate(kinds) if k == "page"], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(["page"] * len(at), pa.string())], ["key", "kind"])
-
-        found = found.unionByName(rows.mapInArrow(again, f"key {key_type}, kind string"))
+    found = found.unionByName(_filler(seen, word_share)).unionByName(_pages(rows, seen, template_share, key_type))
     places = seen.select("key", F.explode("places").alias("p")).select("key", "p.*")
     slot = places.where("NOT spoken").select("key", F.lit("slot").alias("kind"))
     words = frozenset(r.word for r in places.where("spoken").select("word").distinct().collect())
     if words:
 
         def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(sorted(words))
+            known = automaton(sorted(words))
             for batch in batches:
-                frames = Counter(f for t in batch.column(0).to_pylist() for f in values(t, words, automaton))
-                yield pa.RecordBatch.from_arrays([pa.array(list(frames), pa.string()), pa.array(list(frames.values()), pa.int64())], ["frame", "filled"])
+                counts = Counter(f for t in batch.column(0).to_pylist() for f in values(t, words, known))
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["frame", "filled"])
 
         unfilled = places.where("spoken").groupBy("frame").agg(F.count("*").alias("unfilled"))
         filled = rows.select("text").mapInArrow(align, "frame string, filled long").join(unfilled.select("frame"), "frame", "left_semi").groupBy("frame").agg(F.sum("filled").alias("filled"))
         template = unfilled.join(filled, "frame").where(F.col("filled") >= value_share * (F.col("filled") + F.col("unfilled"))).select("frame")
         slot = slot.unionByName(places.where("spoken").join(template, "frame", "left_semi").select("key", F.lit("slot").alias("kind")))
     return found.unionByName(slot).groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumnRenamed("key", key)
+
+
+def _filler(seen: DataFrame, word_share: float, dense: float = 0.15) -> DataFrame:
+    """(key, kind) of texts of which 0.7 are dummy words, of the standard passage or learned from texts dense in it."""
+    dummies = seen.where("share IS NOT NULL")
+    texts = dummies.where(F.col("share") >= dense)
+    least = F.greatest(F.lit(2), F.ceil(F.lit(texts.count() * word_share)))
+    learned = texts.select(F.explode("words").alias("w")).groupBy("w.s").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()
+    known = F.array(*[F.lit(w) for w in sorted(LOREM | {r.s for r in learned})])
+    total = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + w.n)
+    filler = total(F.filter("words", lambda w: F.array_contains(known, w.s))) >= 0.7 * total(F.col("words"))
+    return dummies.where(filler).select("key", F.lit("filler").alias("kind"))
+
+
+def _pages(rows: DataFrame, seen: DataFrame, share: float, key_type: str, rounds: int = 2) -> DataFrame:
+    """(key, kind) of the error pages and notices among all texts."""
+    hits = seen.where("hits IS NOT NULL").select("hits")
+    least = max(3, math.ceil(share * hits.count()))
+    keys = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.concat(h["keys"], F.transform(h["pieces"], lambda p: p["s"])), lambda k: F.struct(k.alias("k"), (h["closed"] > 0).alias("seeded"))))))
+    counted = hits.select(F.explode(keys).alias("x")).groupBy("x.k").agg(F.count("*").alias("n"), F.avg(F.col("x.seeded").cast("int")).alias("seeded")).where(F.col("n") >= least).collect()
+    counts = {r.k: r.n for r in counted}
+    # templates of sentences with seeds are taken for parts of pages at first, others not; then either kind is judged by the
+    # other in turn, so that both settle
+    rates = {r.k: float(r.seeded >= 0.5) for r in counted}
+    kinds = [{r.k for r in counted if (r.seeded >= 0.5) == kind} for kind in (False, True)]
+    for turn in range(2 * rounds if counts else 0):
+        rates |= {k: v for k, v in _rates(hits, counts, rates).items() if k in kinds[turn % 2]}
+    templates = PageTemplates({k: (counts[k], rates[k] >= 0.5) for k in counts})
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(i, c) for i, t in enumerate(batch.column(1).to_pylist()) if (c := page_cover(plain(t), templates))]
+            at = pa.array([i for i, _ in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([c[0] for _, c in got], pa.bool_()), pa.array([c[1] for _, c in got], pa.list_(pa.string()))], ["key", "seed", "used"])
+
+    covered = rows.mapInArrow(cover, f"key {key_type}, seed boolean, used array<string>").checkpoint()
+    by_template = covered.select("seed", F.explode(F.array_distinct("used")).alias("k")).groupBy("k").agg(F.avg(F.col("seed").cast("int")).alias("rate"))
+    sure = [r.k for r in by_template.where("rate >= 0.1").collect()]  # templates only, so bounded like these
+    alone = F.forall("used", lambda k: k.isin(sure)) & F.exists("used", lambda k: F.size(F.split(k, " ")) >= 3) if sure else F.lit(False)
+    return covered.where(F.col("seed") | alone).select("key", F.lit("page").alias("kind"))
+
+
+def _rates(hits: DataFrame, counts: dict[str, int], rates: dict[str, float]) -> dict[str, float]:
+    """Of the texts with a template and something else, the share in which the rest is closed (see isolation)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            closed: Counter[str] = Counter()
+            texts: Counter[str] = Counter()
+            for segments in batch.column(0).to_pylist():
+                for k, v in isolation(segments, counts, rates).items():
+                    texts[k] += 1
+                    closed[k] += v
+            yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array([closed[k] for k in texts], pa.int64()), pa.array(list(texts.values()), pa.int64())], ["k", "closed", "texts"])
+
+    sums = hits.mapInArrow(run, "k string, closed long, texts long").groupBy("k").agg(F.sum("closed").alias("closed"), F.sum("texts").alias("texts"))
+    return {r.k: r.closed / r.texts for r in sums.collect()}

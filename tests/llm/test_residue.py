@@ -1,25 +1,41 @@
-from lectern.llm.residue import find_residue, page_shape, slots
+from lectern.llm.residue import find_residue, slots
+from lectern.llm.residue_pages import PageTemplates, page_cover, plain, tokens, whole
 
 GOOD = "The reader was tired before lunch, so only 12 verses were split. Nothing else to report."
+PROSE = [GOOD, "Cue 404 was not found on the first pass, but Fenwick located it.", "Access was denied to the booth until Maruk found the key.", "An internal server error stopped the upload, yet the copy is complete.", "We used lorem ipsum on the old poster, Corwen said, and had to print new ones.", "The script is required before the session starts."]
 
 
-def test_shapes():
-    pages = ["404 Not Found\nnginx", "Seite nicht gefunden Return to the home page", "पृष्ठ नहीं मिला (404) nginx", "Доступ запрещён | Retry", "Please enable JavaScript to view this page.", "HTTP 500 If the problem persists contact the administrator.", "Fatal error: memory limit exhausted at line 9"]
-    assert [page_shape(p)[0] for p in pages] == ["page"] * len(pages)
-    assert page_shape("test test test test test test")[0] == page_shape("sdf jkl fds asd kjl")[0] == page_shape("line 1 sample; line 2 sample; line 3 sample")[0] == page_shape("Lorem ipsum dolor sit amet consectetur elit")[0] == "filler"
-    assert page_shape("(empty template).")[0] == page_shape(" \n")[0] == page_shape("Notes pending - check back later.")[0] == "stub"
-    prose = [GOOD, "Cue 404 was not found on the first pass, but Fenwick located it.", "Access was denied to the booth until Maruk found the key.", "An internal server error stopped the upload, yet the copy is complete.", "We used lorem ipsum on the old poster, Corwen said, and had to print new ones.", "The script is required before the session starts."]
-    assert [page_shape(p)[0] for p in prose] == [""] * len(prose)
+def test_seeds_alone():
+    pages = ["404 Not Found\n403", "Seite nicht gefunden. Zugriff verweigert", "पृष्ठ नहीं मिला (404)", "Доступ запрещён | Страница не найдена", "Please enable JavaScript to view this page.", "HTTP 500", "Code: 503", "Fatal error: memory limit exhausted at line 9"]
+    nothing = PageTemplates({})
+    assert all(page_cover(plain(p), nothing) == (True, []) for p in pages)
+    assert [page_cover(plain(p), nothing) for p in PROSE] == [None] * len(PROSE)
+
+
+def test_filler_and_stubs():
+    assert whole("test test test test test test") == whole("sdf jkl fds asd kjl") == whole("line 1 sample; line 2 sample; line 3 sample") == whole("lorem ipsum dolor sit amet consectetur elit") == "filler"
+    assert whole("(empty template).") == whole(plain(" \n")) == whole("notes pending - check back later.") == "stub"
+    assert [whole(plain(p)) for p in PROSE] == [""] * len(PROSE)
 
 
 def test_filler_and_stubs_are_decided_on_the_whole_text():
-    heading = "Chapter four of the second reading, recorded at the small booth by Oshelle and checked twice before the long summer break began."
+    heading = "chapter four of the second reading, recorded at the small booth by oshelle and checked twice before the long summer break began."
     for body in ("lorem ipsum dolor sit amet consectetur elit sed do eiusmod tempor. " * 50, "sdf jkl fds asd kjl " * 120, "test " * 400, "line 1 sample; line 2 sample; " * 80):
-        assert page_shape(f"{heading}\n{body}")[0] == page_shape(f"{body}\n{heading}")[0] == "filler"
-    assert page_shape(f"{heading} " + "lorem ipsum dolor sit amet " * 5)[0] == page_shape(f"{GOOD * 2000} " + "lorem ipsum dolor sit amet " * 5000)[0] == ""
-    stubs = "Notes pending - check back later. Your text here. Under construction. Type the title here. Coming soon. Content to be added. No description available. Write your notes here. "
-    assert page_shape(stubs * 3)[0] == page_shape(stubs + "Replace this heading with your own name.")[0] == "stub"
-    assert page_shape(f"{heading * 4} " + "notes pending, coming soon. " * 10)[0] == ""
+        assert whole(f"{heading}\n{body}") == whole(f"{body}\n{heading}") == "filler"
+    late = GOOD.lower() * 120 + "lorem ipsum dolor sit amet consectetur elit sed do eiusmod tempor. " * 500
+    assert len(GOOD) * 120 > 10_000 and whole(late) == "filler"
+    assert whole(f"{heading} " + "lorem ipsum dolor sit amet " * 5) == whole(f"{GOOD * 2000} " + "lorem ipsum dolor sit amet " * 5000) == ""
+    stubs = "notes pending - check back later. your text here. under construction. type the title here. coming soon. content to be added. no description available. write your notes here. "
+    assert whole(stubs * 3) == whole(stubs + "replace this heading with your own name.") == "stub"
+    assert whole(f"{heading * 4} " + "notes pending, coming soon. " * 10) == ""
+
+
+def test_templates():
+    t = PageTemplates({"back to the harbour": (9, True), "the ◊ never came": (9, True), "the ◊": (1, False), "word of ◊ came late": (30, False), "word of storms came late": (3, True)})
+    assert tokens("Request-Id: 7f3a9b21!") == ("Request", "-", "Id", ":", "9")
+    assert t.covered(tokens("the blue boat never came")) == (0, ["the ◊ never came"])
+    assert t.covered(tokens("back to the harbour back to the harbour 7"))[0] == 1
+    assert t.covered(tokens("word of storms came late"))[0] > 0  # the most frequent template that fits is one of prose
 
 
 def test_slots():
@@ -63,14 +79,39 @@ def test_slots_left_with_names_defaults_or_nothing(spark):
     assert {r.doc_id for r in find_residue(df).collect()} == {50, 51, 52, 53, 62}
 
 
-def test_companions_are_learned(spark):
-    rows = [(i, f"404 Not Found\nZum Seitenanfang springen bitte {i}") for i in range(30)] + [(99, GOOD)]
+def test_pages_are_learned_from_what_recurs(spark):
+    rows = [(i, f"404 Not Found\nZum Seitenanfang springen bitte {i}") for i in range(30)]
+    rows += [(100 + i, f"Klangbibliothek Nordlicht, Verzeichnis {i}\n404 Not Found") for i in range(30)]
+    rows += [(900, GOOD), (901, "Klangbibliothek Nordlicht, Verzeichnis 7\n" + GOOD)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in find_residue(df).collect()) == list(range(30))
+    assert sorted(r.doc_id for r in find_residue(df).collect()) == [*range(30), *range(100, 130)]
+
 
+def test_unseen_wording_is_told_by_where_it_stands(spark):
+    """Pages whose wording no list has, beside sentences of prose that hold the same phrases and recur as often."""
+    things = ["kettle", "copper lamp", "long boat", "harbour map", "old ledger", "winter coat"]
+    rows = [(i, f"Harbour Office\nRegrettably the {things[i % 6]} you summoned could not be found.\n{'Back to the quay' if i % 3 else '404 Not Found'}") for i in range(60)]
+    rows += [(100 + i, f"Regrettably the {things[i % 6]} you summoned cannot be displayed.") for i in range(12)]
+    rows += [(200 + i, "The teapot refused to brew.\nError 418\nBack to the quay") for i in range(9)] + [(220, "The teapot refused to brew."), (221, "Back to the quay\nThe teapot refused to brew.")]
+    rows += [(300 + i, f"The key of the {things[i % 6]} could not be found on the second evening. {GOOD} {GOOD} We walked home in the rain number {i}.") for i in range(40)]
+    rows += [(400 + i, f"The key of the {things[i % 6]} could not be found on the second evening.") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in find_residue(df).collect()}
+    assert got == {*range(60), *range(100, 112), *range(200, 209), 220, 221}
 
-def test_titles_above_the_phrase_are_learned(spark):
-    rows = [(i, f"Klangbibliothek Nordlicht, Verzeichnis {i}\n404 Not Found") for i in range(30)] + [(99, GOOD), (100, "Klangbibliothek Nordlicht, Verzeichnis 7\n" + GOOD)]
+
+def test_dummy_words_are_learned(spark):
+    words = "lorem ipsum dolor amet magna brindle quorve astum nellis porvo".split()
+    rows = [(i, " ".join(words[(i * 7 + k * (i % 3 + 1)) % 10] for k in range(40))) for i in range(12)]
+    rows += [(50, "amet brindle quorve astum nellis porvo brindle astum porvo quorve"), (51, f"{PROSE[4]} Brindle, astum and porvo are villages.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in find_residue(df).collect()} == {*range(12), 50}
+
+
+def test_names_of_other_languages_in_slots(spark):
+    names = ["Oshelle", "Ilsabet Marr", "Tavish", "Juneth", "Perrit", "Maruk"]
+    rows = [(i, f"Read by {n} at dawn.\nProducer: {n}") for i, n in enumerate(names)]
+    rows += [(50 + i, f"Read by {n} at dawn.") for i, n in enumerate([":firstname", "$name", "%(time)s", "*|NAME|*", "your name"])] + [(60, "Producer:\nThe rest is here.")]
+    rows += [(70, "It costs $five or ~six~ at the gate."), (71, "Three things:\nsalt, rope and bread.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in find_residue(df).collect()) == list(range(30))
-    assert page_shape("Code: 503")[0] == "page"
+    assert {r.doc_id for r in find_residue(df).collect()} == {*range(50, 55), 60}
