@@ -26,7 +26,8 @@ PLACEHOLDER = re.compile(
 #: Those of the forms above that are case-sensitive, and must be upper case.
 UPPER = re.compile(r"^(?:\[[A-Z][A-Z0-9 _]+\]|__[A-Z][A-Z0-9_]*__|%[A-Z][A-Z0-9_]+%|#[A-Z][A-Z0-9_]+#|X{4,}|TB[DAC])$")
 NEEDS_UPPER = re.compile(r"^(?:\[(?!(?i:insert|your|enter|add)\s)[A-Za-z][A-Za-z0-9 _]+\]|__\w+__|%\w+%|#\w+#|[Xx]{4,}|[Tt][Bb][DACdac])$")
-MAY_HOLD = re.compile(r"[{\[<@%#]|__|XXX|to follow|to come|TB[ACD]|tb[acd]|\(insert", re.I)
+#: Strings of which each placeholder holds one, and of which each suspect does, in lower case.
+MAY_HOLD = automaton([*"{[<@%#", "__", "xxx", "to follow", "to come", "tba", "tbc", "tbd", "(insert"])
 TOKEN = re.compile(r"\x01\d+\x02|[^\W\d_]+|\d+|[^\w\s]")
 _NAMED = (
     r"(?:placeholder|field|tag|variable|token|macro|shortcode|platzhalter|feld|felder|variablen?|marcador|marcadores|campo|etiqueta|"
@@ -51,7 +52,8 @@ SUSPECT = re.compile(
     r"(?<![\w./\\@:#$%{<\[-])[A-Za-z]{2,}(?:_[A-Za-z]{2,})+(?![\w/\\@:%}>\]-]|\.\w)|(?<![\w{<\[])[A-Z][a-z]+\s(?:Name|Title|Number|Date|Address)(?![\w}>\]])"
     r"|(?<=[\w:])[ \t]+(?=[,.;!](?:\s|$))|(?<=:)(?=[,;](?:\s|$))|(?<=\w:)[ \t]*$"
 )
-MAY_SUSPECT = re.compile(r"_|\$[A-Za-z]|%\(|\s:[A-Za-z]|\*\||~|\s(?:[Nn]ame|[Tt]itle|[Nn]umber|[Dd]ate|[Aa]ddress|[,.;!](?:\s|$))|:[,;]|:[ \t]*(?:\n|$)")  # stands in each of these
+MAY_SUSPECT = automaton([*"_$~", "%(", "*|", " :", "\n:", " name", " title", " number", " date", " address", *(f"{a}{b}" for a in (" ", "\t", ":") for b in ",.;!")])
+ENDS_OPEN = re.compile(r":[ \t]*(?:\n|$|\s\|)")
 QUOTES = frozenset("\"'`“”„‘’«»‹›")
 
 
@@ -63,10 +65,10 @@ def slots(text: str) -> list[tuple[str, str, bool, str]]:
     placeholder isn't spoken of.
     """
     found = []
-    if not MAY_HOLD.search(text):
+    if not may(MAY_HOLD, text.lower()):
         return found
     for segment in SEGMENT.split(text):
-        if not MAY_HOLD.search(segment):
+        if not may(MAY_HOLD, segment.lower()):
             continue
         spans = placeholders(segment)
         shape = shaped(segment, spans)
@@ -80,10 +82,10 @@ def slots(text: str) -> list[tuple[str, str, bool, str]]:
 def suspects(text: str) -> list[tuple[str, str, bool, str]]:
     """As slots(), for what a slot may be left with that is no placeholder; all need values in their frames elsewhere."""
     found = []
-    if not MAY_SUSPECT.search(text):
+    if not may(MAY_SUSPECT, text.lower()) and not ENDS_OPEN.search(text):
         return found
     for segment in SEGMENT.split(text):
-        if not MAY_SUSPECT.search(segment):
+        if not may(MAY_SUSPECT, segment.lower()) and not ENDS_OPEN.search(segment):
             continue
         marks = placeholders(segment)
         bare = bare_places(segment, marks)
@@ -98,13 +100,17 @@ def suspects(text: str) -> list[tuple[str, str, bool, str]]:
     return found
 
 
+def may(strings: ahocorasick.Automaton, text: str) -> bool:
+    return next(strings.iter(text), None) is not None
+
+
 def placeholders(segment: str) -> list[tuple[int, int]]:
     return [m.span() for m in PLACEHOLDER.finditer(segment) if not (NEEDS_UPPER.match(m[0]) and not UPPER.match(m[0]))]
 
 
 def bare_places(segment: str, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What looks like a slot's bare name, default or blank, outside placeholders."""
-    return [] if not MAY_SUSPECT.search(segment) else [m.span() for m in SUSPECT.finditer(segment) if not any(a <= m.end() and m.start() <= b for a, b in marks)]
+    return [m.span() for m in SUSPECT.finditer(segment) if not any(a <= m.end() and m.start() <= b for a, b in marks)]
 
 
 def shaped(segment: str, spans: list[tuple[int, int]]) -> list[str]:

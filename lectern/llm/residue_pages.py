@@ -265,6 +265,8 @@ def page_cover(text: str, templates: PageTemplates, share: float = 0.1) -> tuple
     limit, seed, used, open_ = share * len(text), False, [], 0
     for segment in segments(text):
         left, has = masked(segment)
+        if not has and open_ + sum([len(w) for w in segment.split() if w not in templates.words and w.isalpha()]) > max(limit, open_ + 0.5 * len(segment)):
+            return None  # more than half of it are words of no template, so all of it is open
         if skeleton := tokens(left):
             got, keys = templates.covered(skeleton)
             seed = seed or has
@@ -293,15 +295,18 @@ def is_filler(text: str) -> tuple[bool, float]:
     """
     counts: Counter[str] = Counter()
     n = latin = long = keys = at = 0
+    step = 8192
     while at < len(text):
-        end = text.find(" ", at + 8192) if at + 8192 < len(text) else -1
+        end = text.find(" ", at + step) if at + step < len(text) else -1
         end = len(text) if end < 0 else end
+        step *= 2  # so that summing up stays linear in the text
         words = WORD.findall(text, at, end)
         at = end
         counts.update(words)
-        dummy = list(filter(LOREM.__contains__, words))
-        n, latin, long = n + len(words), latin + len(dummy), long + sum(len(w) > 3 for w in dummy)
-        keys += sum(not w.strip(KEYS) for w in words)
+        n += len(words)
+        dummy = LOREM & counts.keys()
+        latin, long = sum(counts[w] for w in dummy), sum(counts[w] for w in dummy if len(w) > 3)
+        keys = sum(counts[w] for w in counts if w[0] in KEYS and not w.strip(KEYS))
         left = (len(text) - at + 1) // 2
         if left and latin + left < 0.7 * (n + left) and keys + left < 0.8 * (n + left) and len(counts) > 8 + 0.2 * (n + left):
             return False, math.inf
