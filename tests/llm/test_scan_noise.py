@@ -1,4 +1,6 @@
-from lectern.llm.scan_noise import Furniture, Lexicon, derivation, page_number, repair, repair_scripts, split_numbers, strokes, word_counts
+import random
+
+from lectern.llm.scan_noise import Furniture, Lexicon, derivation, header_templates, page_number, repair, repair_scripts, split_numbers, strokes, word_counts
 
 WORDS = "the river keeper stood near northern gate and nobody followed it children sun-dried hill-country orchard waiting tower for forty days many".split()
 LEXICON = Lexicon({w: 500 for w in WORDS} | {"tbe": 3, "chapter": 90})
@@ -16,7 +18,80 @@ def test_confusions_keep_their_strokes_and_are_found():
     assert derivation("river", "iivei", 2) == [0, 4] and derivation("river", "giver", 2) is None and derivation("same", "same", 2) == []
     assert LEXICON.misread == {"tbe": "the"}
     assert LEXICON.decode("childrcn") == ("children", [6]) and LEXICON.decode("northem") == ("northern", [6]) and LEXICON.decode("zebra") is None
-    assert LEXICON.segment("theriver") == ["the", "river"]
+
+
+JOINT = Lexicon({w: 500 for w in WORDS + "valley people walked in morning a away way into to on chapter cold".split()} | {"tbe": 3, "the": 5000, "in": 2000, "a": 3000, "to": 3000})
+
+
+def text_of(raw):
+    return " / ".join(t for _, t in repair(raw, JOINT, Furniture([], []))[1])
+
+
+def test_joint_decoding():
+    """Splits, merges, misreadings and broken words in one stream."""
+    expected = {
+        "the val ley": "the valley", "many peo ple wal ked in the morning": "many people walked in the morning", "the riv er": "the river", "th e river": "the river",
+        "inthe morning": "in the morning", "peoplewalkedinthemorning": "people walked in the morning", "the val\nley stood": "the valley stood", "ther1ver stood": "the river stood",
+        "peo plewalked to": "people walked to", "in to the way": "in to the way", "a way to": "a way to", "the nor-\nthem gate": "the northern gate", "hill-\ncountry": "hill-country",
+        "river-\ngate": "river-gate", "zelo-\nmar stood": "zelomar stood", "the chil\xad\nd\xad\nren stood": "the children stood", "the gate, stood! (near) \"the\" gate": "the gate, stood! (near) \"the\" gate",
+        "Walked INTHE morning": "Walked IN THE morning", "forty d\nays": "forty days", "the Zelimar stood": "the Zelimar stood", "or-\nchard-\n": "orchard-",
+    }
+    assert {t: text_of(t) for t in expected} == expected
+    assert sorted(repair("ther1ver stood near tbe nor-\nthem gate", JOINT, Furniture([], []))[0]) == [(1, "glyph"), (1, "hyphen"), (2, "glyph")]
+    long = "people walked in the morning to the valley " * 300
+    assert text_of(long.replace(" ", "").strip()) == long.strip()
+
+
+def test_planted_noise_is_undone():
+    """Clean verses, broken into lines and disturbed in every way, come back as they were."""
+    rng, words = random.Random(5), [w for w in JOINT.counts if w.isalpha() and w not in ("tbe", "a", "to", "in", "on", "it", "chapter")]
+    misread = {"o": "0", "m": "rn", "d": "cl", "e": "c", "w": "vv", "l": "1"}
+    clean, raw, noise = [], ["Chapter 9"], []
+    for verse in range(1, 60):
+        body = [rng.choice(words) for _ in range(rng.randint(6, 40))]
+        clean.append((verse, " ".join(body) + "."))
+        line = str(verse)
+        for k, w in enumerate(body):
+            w += "." if k == len(body) - 1 else ""
+            if rng.random() < 0.06 and (at := [i for i, c in enumerate(w) if c in misread]) and len(w) > 5:
+                i = rng.choice(at)
+                w = w[:i] + misread[w[i]] + w[i + 1 :]
+                seen = True
+            else:
+                seen = False
+            if rng.random() < 0.05 and len(w) > 6 and not seen:
+                w = w[:3] + " " + w[3:]
+            if len(line) + len(w) > 50:
+                if rng.random() < 0.4 and len(w) > 6 and not seen and " " not in w:
+                    raw.append(line + " " + w[:4] + "-")
+                    noise.append((len(raw), "hyphen"))
+                    line = w[4:]
+                else:
+                    raw.append(line)
+                    line = w
+                if rng.random() < 0.15:
+                    raw.append(f"[{100 + verse}]")
+                    noise.append((len(raw), "furniture"))
+            else:
+                line += " " + w
+            if seen:
+                noise.append((len(raw) + 1, "glyph"))
+        raw.append(line)
+    found, paras = repair("\n".join(raw), JOINT, Furniture([], []))
+    assert sorted(found) == sorted(set(noise)) and paras == [(None, "Chapter 9"), *clean]
+
+
+def test_headers_of_one_script_and_rare_templates(spark):
+    body = [f"{v} the river keeper stood near the northern gate and nobody followed" + ("\nit to the tower." if v % 2 else ".") for v in range(1, 30)]
+    for at in (5, 11, 17, 23):
+        body.insert(at, f"Kestrel House Fair Copy\n\n{300 + at}" if at != 17 else f"Kestrel House Fair Copy\n{300 + at}")
+    text = "\n".join(body)
+    lines = text.split("\n")
+    assert noise(text) == [(i, "furniture") for i, x in enumerate(lines, 1) if x.startswith(("Kestrel", "3")) and "the" not in x]
+    rows = [(i, "\n".join(["the river stood", "Bookroom Proof, second pull", "[7]", f"many children {'a' * (i % 7)}"])) for i in range(4)] + [(9, "Waiting near the tower\n[3]\nthe river stood")] * 2
+    rows += [(20 + i, "the gate\nWaiting near the tower\nand nobody followed it") for i in range(20)]
+    df = spark.createDataFrame(rows, "script_id long, raw_text string")
+    assert header_templates(df, []) == ["Bookroom Proof, second pull"]
 
 
 def test_page_numbers():
