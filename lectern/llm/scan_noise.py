@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,7 +42,9 @@ PAGE_FORMS = re.compile(rf"^(?:\[\s*(\S+)\s*\]|[-–—~]\s*(\S+)\s*[-–—~]|{
 BARE = re.compile(rf"^({NUMBER}|[ivxlc!1|]{{1,7}})([.:)\]]?)$", re.I)
 INLINE = re.compile(rf"^([{DIGIT}]+)\s*[.:)\]]?\s+\S")
 TITLE = re.compile(rf"^{CHAPTER}\s+[{DIGIT}]+$", re.I)
-WIDE = re.compile(r"\s\s")
+WIDE = re.compile(r"\s\s|[^\S ]")
+DIGITS_RUN = re.compile(rf"[{DIGIT}]+")
+WHOLE_NUMBER = re.compile(NUMBER)
 SPLIT_PAGE = re.compile(r"^(?:(\S+)\s{2,}(\S.*)|(.*\S)\s{2,}(\S+))$")
 
 
@@ -295,16 +298,29 @@ def word_counts(scripts: DataFrame, text: str = "raw_text", least_share: float =
     return counts
 
 
-def masked(line: str, names: re.Pattern | None) -> str:
-    text = re.sub(r"\s+", " ", line.strip())
-    if names is not None:
-        text = names.sub("◊", text)
-    return re.sub(rf"[{DIGIT}]+", "9", text)
+class Names:
+    """Names to be masked in lines; an automaton tells first whether a line holds any."""
 
+    def __init__(self, names: list[str]):
+        ordered = sorted({n for n in names if n}, key=lambda n: (-len(n), n))
+        self.pattern = re.compile("|".join(map(re.escape, ordered)), re.I) if ordered else None
+        self.any = ahocorasick.Automaton()
+        for n in ordered:
+            self.any.add_word(n.lower(), 1)
+        if ordered:
+            self.any.make_automaton()
 
-def name_pattern(names: list[str]) -> re.Pattern | None:
-    ordered = sorted({n for n in names if n}, key=lambda n: (-len(n), n))
-    return re.compile("|".join(map(re.escape, ordered)), re.I) if ordered else None
+    def mask(self, text: str) -> str:
+        if self.pattern is None or next(self.any.iter(text.lower()), None) is None:
+            return text
+        return self.pattern.sub("◊", text)
+
+
+def masked(line: str, names: Names) -> str:
+    text = line.strip()
+    if WIDE.search(text):
+        text = re.sub(r"\s+", " ", text)
+    return DIGITS_RUN.sub("9", names.mask(text))
 
 
 def without_page(line: str) -> str | None:
@@ -357,7 +373,7 @@ def beside(stripped: list[str], pages: list[bool]) -> set[int]:
     return at
 
 
-def header_bodies(stripped: list[str], pages: list[bool], names: re.Pattern | None) -> Counter[str]:
+def header_bodies(stripped: list[str], pages: list[bool], names: Names) -> Counter[str]:
     """Counts of what may be a running header beside page numbers, with names and numbers masked: the nearest lines above
     and below that aren't blank, and what stands in a line with a page number."""
     at, bodies = beside(stripped, pages), []
@@ -379,7 +395,7 @@ def header_templates(scripts: DataFrame, names: list[str], text: str = "raw_text
     counts a template once, so there are at most (templates of a script) / least_share of them. Lines are counted by hash,
     with partial counts before the shuffle; only those seen beside a page number go along as text.
     """
-    pattern = name_pattern(names)
+    pattern = Names(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -407,7 +423,7 @@ class Furniture:
     """Tells running headers, also misread ones, by templates and by strokes."""
 
     def __init__(self, templates: list[str], names: list[str]):
-        self.pattern, self.templates = name_pattern(names), set(templates)
+        self.pattern, self.templates = Names(names), set(templates)
         self.shapes: set[str] = set()
         for t in templates:
             for n in names if "◊" in t else [""]:
@@ -418,14 +434,27 @@ class Furniture:
         self.by_size = {k: sorted(v) for k, v in by_size.items()}
         self.openings = {s[:3] for s in self.shapes}
         self.cache: dict[str, bool] = {}
+        self.begins: dict[str, bool] = {}
 
     @staticmethod
     def _shape(text: str) -> str:
-        words = re.sub(r"\s+", " ", text.strip()).split(" ")
-        return " ".join("9" if re.fullmatch(NUMBER, w) else strokes(w) for w in words)
+        return " ".join("9" if WHOLE_NUMBER.fullmatch(w) else strokes(w) for w in text.split())
+
+    def opens(self, line: str) -> bool:
+        """Whether a header begins like a line, by its first words' strokes; remembered by the first word where it is long."""
+        first = line.split(None, 1)[0]
+        got = self.begins.get(first)
+        if got is None:
+            if len(self.begins) > 100_000:
+                self.begins.clear()
+            shape = self._shape(first)
+            if len(shape) < 3:
+                return self._shape(" ".join(line.split(None, 2)[:2]))[:3] in self.openings
+            got = self.begins[first] = shape[:3] in self.openings
+        return got
 
     def is_header(self, line: str, near: bool) -> bool:
-        if not near and self._shape(" ".join(line.split(None, 2)[:2]))[:3] not in self.openings:
+        if not near and not self.opens(line):
             return False
         if masked(line, self.pattern) in self.templates:
             return True
