@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the folder the cluster names, or a temporary one where none is named (tests)."""
+    """Makes checkpoint() usable: in the folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a temporary folder is made if everything runs in one process of this machine (tests). On a cluster
+    this is an error, because the executors couldn't read each other's files.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
 
 
