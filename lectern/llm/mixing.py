@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,10 @@ from pyspark.sql.window import Window
 from ..session import checkpoint_dir
 
 
+#: The group of rare languages or topics.
+RARE = "\x00"
+
+
 def rake(tokens: np.ndarray, most: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60) -> np.ndarray:
     """Tokens to draw from each cell: iterative proportional fitting to the margins, at most `most` of a cell.
 
@@ -39,11 +44,26 @@ def rake(tokens: np.ndarray, most: np.ndarray, margins: list[tuple[np.ndarray, n
     return x
 
 
+class Mixture(NamedTuple):
+    """drawn (key, source, copies), report by source, margins (margin, value, target_share, actual_share, tokens)."""
+
+    drawn: DataFrame
+    report: DataFrame
+    margins: DataFrame
+
+
+def frequent(rows: DataFrame, column: str, least_share: float) -> list[str]:
+    """The values with at least `least_share` of all tokens, so at most 1 / least_share of them."""
+    totals = rows.groupBy(column).agg(F.sum("size").alias("t"))
+    whole = rows.agg(F.sum("size").alias("t")).first().t or 0
+    return sorted(r[column] for r in totals.where(F.col("t") >= least_share * whole).select(column).collect())
+
+
 def mix(
     docs: DataFrame, targets: list[tuple[str, float, int]], *, key: str, source: str, language: str, topic: str, size: str,
-    total_tokens: int | None = None, block_rows: int = 50_000, starts: int = 64, seed: str = "mixture",
-) -> tuple[DataFrame, DataFrame]:
-    """The mixture (key, source, copies), one row for each document drawn, and the report of the shares reached.
+    total_tokens: int | None = None, block_rows: int = 50_000, starts: int = 64, seed: str = "mixture", language_share: float = 0.01, topic_share: float = 0.001,
+) -> Mixture:
+    """The mixture, one row for each document drawn, and reports of the shares reached by sources, languages and topics.
 
     targets: (source, share, most uses of a document). Documents of other or null sources, or without tokens, take no
     part; null languages and topics are groups of their own. The token weights of the cells (source, language, topic)
@@ -55,7 +75,9 @@ def mix(
     too few for its share, leaves the rest to the others in proportion. total_tokens defaults to the largest size at
     which every source that has documents reaches its share. Repeated documents are drawn each on their own.
 
-    The cells sent to the driver are as many as sources times languages times topics, no matter how many documents.
+    Languages below `language_share` of all tokens make up one group, null in the report, and so do topics below
+    `topic_share`. So the cells sent to the driver and to the tasks are at most sources / (language_share * topic_share),
+    no matter how many documents, languages or topics there are; every document takes part all the same.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
@@ -67,6 +89,8 @@ def mix(
         F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{language}`").cast("string"), F.lit("")).alias("language"), F.coalesce(F.col(f"`{topic}`").cast("string"), F.lit("")).alias("topic"), F.col(f"`{size}`").cast("long").alias("size")
     )
     rows = rows.where(F.col("source").isin(sorted(wanted)) & (F.col("size") > 0)).checkpoint()
+    for column, least in (("language", language_share), ("topic", topic_share)):
+        rows = rows.withColumn(column, F.when(F.col(column).isin(frequent(rows, column, least)), F.col(column)).otherwise(RARE))
     cells = rows.groupBy("source", "language", "topic").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).toPandas().sort_values(["source", "language", "topic"])
     present = sorted(set(cells["source"]))
     share = np.array([wanted[s][0] for s in present])
@@ -100,7 +124,7 @@ def mix(
     joined = rows.join(F.broadcast(plan_df), ["source", "language", "topic"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), "blocks"))
     order = Window.partitionBy("source", "block").orderBy(F.col("size").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
     shift = F.pmod(F.xxhash64("source", "block", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    lined = joined.select("key", "source", "size", "times", "most", (F.sum("times").over(order) + shift).alias("upto")).checkpoint()
+    lined = joined.select("key", "source", "language", "topic", "size", "times", "most", (F.sum("times").over(order) + shift).alias("upto")).checkpoint()
 
     def copies(start: Column) -> Column:
         step = F.floor(F.col("upto") + start + 1e-9) - F.floor(F.col("upto") + start - F.col("times") + 1e-9)
@@ -112,7 +136,7 @@ def mix(
     start = F.lit(0.0)
     for name, value in sorted(chosen.items()):
         start = F.when(F.col("source") == name, F.lit(value)).otherwise(start)
-    taken = lined.withColumn("copies", copies(start)).where("copies > 0").select("key", "source", "copies", "size")
+    taken = lined.withColumn("copies", copies(start)).where("copies > 0").select("key", "source", "language", "topic", "copies", "size")
     used = taken.groupBy("source").agg(F.count("*").alias("documents"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("size")).alias("tokens"))
     names = spark.createDataFrame(
         [(s, v[0], v[1], int(have[present.index(s)]) if s in present else 0, float(goal[present.index(s)]) if s in present else 0.0) for s, v in sorted(wanted.items())],
@@ -121,4 +145,13 @@ def mix(
     report = names.join(used, "source", "left").na.fill(0, ["documents", "most_copies", "tokens"])
     whole = F.sum("tokens").over(Window.partitionBy())  # one row a source
     report = report.withColumn("actual_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0)).withColumn("limited", F.col("planned_tokens") >= F.col("available_tokens") * F.col("max_repeat") * (1 - 1e-9))
-    return taken.select(F.col("key").alias(key), F.col("source").alias(source), "copies"), report.drop("planned_tokens")
+    parts = []
+    for column in ("language", "topic"):
+        reached = taken.groupBy(F.col(column).alias("value")).agg(F.sum(F.col("copies") * F.col("size")).alias("tokens"))
+        wanted_rows = [(v, float(t)) for v, t in cells.groupby(column)["tokens"].sum().div(max(tokens.sum(), 1.0)).items()]
+        part = spark.createDataFrame(wanted_rows, "value string, target_share double").join(reached, "value", "left").na.fill(0, ["tokens"])
+        parts.append(part.select(F.lit(column).alias("margin"), "value", "target_share", "tokens"))
+    margins = parts[0].unionByName(parts[1])
+    whole = F.sum("tokens").over(Window.partitionBy("margin"))  # one row a group
+    margins = margins.withColumn("actual_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0)).withColumn("value", F.when(F.col("value") != RARE, F.col("value")))
+    return Mixture(taken.select(F.col("key").alias(key), F.col("source").alias(source), "copies"), report.drop("planned_tokens"), margins)

@@ -77,15 +77,15 @@ def pack(items: DataFrame, packs: list[tuple[str, int]], *, key: str, size: str,
     sized = items.select(F.col(f"`{key}`").alias("key"), F.col(f"`{size}`").cast("long").alias("size")).where("size > 0").checkpoint()
     kind = sized.schema["key"].dataType.simpleString()
     parts = []
+    row = sized.agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).first()
     for name, capacity in sorted(packs):
         if capacity is None or capacity <= 0:
             continue
-        row = sized.agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).first()
         shards = max(1, math.ceil((row.tokens or 0) / (capacity * shard_containers)), math.ceil(row.n / shard_items))
         whole = F.floor(F.col("size") / capacity).cast("long")
         rest = (F.col("size") % capacity).cast("long")
         full = sized.where(F.col("size") >= capacity).select(
-            F.lit(name).alias("pack"), "key", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("piece"), F.lit(None).cast("long").alias("start"), F.lit(capacity).cast("long").alias("tokens")
+            F.lit(name).alias("pack"), "key", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("piece"), F.lit(capacity).cast("long").alias("tokens")
         )
         full = full.select("pack", "key", "piece", F.concat_ws("-", F.lit("whole"), F.col("key").cast("string"), F.col("piece").cast("string")).alias("container"), F.lit(0).cast("long").alias("start"), "tokens")
         rests = sized.where(rest > 0).select(

@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the vocabulary files of public tokenizers lie; a parameter of every operator that counts tokens.
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the public pattern by which byte-level BPE vocabularies of this kind cut text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -43,8 +41,8 @@ class Counter:
         return [0 if t is None else len(next(found)) for t in texts]
 
 
-def token_sizes(docs: DataFrame, keep: list[str], *, text: str = "text", vocabulary: str = VOCABULARY, name: str = "n_tokens") -> DataFrame:
-    """The columns `keep` of docs and `name`, the number of tokens of the whole text; 0 for null and empty texts."""
+def token_sizes(docs: DataFrame, keep: list[str], *, vocabulary: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
+    """The columns `keep` of docs and `name`, the number of tokens of the whole text by the vocabulary file; 0 for null and empty texts."""
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias(name)).schema
 

@@ -6,8 +6,8 @@ import pytest
 
 from lectern.llm.mixing import mix, rake
 from lectern.llm.packing import pack, sum_of_squares
-from lectern.llm.queries_budget import QUERIES
-from lectern.llm.tokens import VOCABULARY, token_sizes
+from lectern.llm.queries_budget import QUERIES, VOCABULARY
+from lectern.llm.tokens import token_sizes
 
 
 def test_sum_of_squares_fills_containers():
@@ -65,10 +65,16 @@ def test_mixture(spark):
         rows.append((i, source, ["en", "de", None][i % 3], f"t{i % 5}" if i % 7 else None, int(rng.integers(1, 200)) if i % 50 else 0, 1))
     df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n long, copies int")
     targets = [("big", 0.5, 2), ("mid", 0.2, 2), ("small", 0.28, 4), ("absent", 0.02, 4)]
-    drawn, report = mix(df, targets, key="doc_id", source="source", language="lang", topic="topic", size="n", block_rows=500)
+    drawn, report, margins = mix(df, targets, key="doc_id", source="source", language="lang", topic="topic", size="n", block_rows=500)
     got = {r.doc_id: r for r in drawn.collect()}
     cap = {"big": 2, "mid": 2, "small": 4}
     assert all(1 <= r.copies <= cap[r.source] for r in got.values()) and all(rows[i][4] > 0 for i in got)
+    for r in margins.collect():
+        assert r.actual_share == pytest.approx(r.target_share, abs=0.03) and r.value in ({"en", "de", ""} if r.margin == "language" else {"t0", "t1", "t2", "t3", "t4", ""})
+        column = 2 if r.margin == "language" else 3
+        assert r.tokens == sum(got[i].copies * rows[i][4] for i in got if (rows[i][column] or "") == r.value)
+    rare = mix(df, targets, key="doc_id", source="source", language="lang", topic="doc_id", size="n").margins.collect()
+    assert [r.value for r in rare if r.margin == "topic"] == [None]  # each topic is rare: one group
     shares = {r.source: r for r in report.collect()}
     for name, share, _ in targets[:3]:
         assert shares[name].actual_share == pytest.approx(share / 0.98, abs=0.01)
@@ -76,8 +82,8 @@ def test_mixture(spark):
     assert shares["absent"].tokens == 0 and shares["absent"].limited and shares["small"].limited
     more = {r.source: r for r in mix(df, targets, key="doc_id", source="source", language="lang", topic="topic", size="n", total_tokens=10**6)[1].collect()}
     assert more["small"].most_copies == 4 and more["small"].actual_share < 0.28
-    empty, nothing = mix(df.where("false"), targets, key="doc_id", source="source", language="lang", topic="topic", size="n")
-    assert empty.count() == 0 and all(r.tokens == 0 for r in nothing.collect())
+    empty, nothing, no_margins = mix(df.where("false"), targets, key="doc_id", source="source", language="lang", topic="topic", size="n")
+    assert empty.count() == 0 and all(r.tokens == 0 for r in nothing.collect()) and no_margins.count() == 0
 
 
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
@@ -96,8 +102,45 @@ def test_whole_mixture_has_all_available_tokens(spark, tmp_path):
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "hello world", 7), (2, None, 7), (3, "", 7), (4, "नमस्ते " * 1000, 7)], "id int, text string, n_tokens int")
-    got = {r.id: r.n_tokens for r in token_sizes(df, ["id"]).collect()}
-    assert got[1] > 0 and got[2] == got[3] == 0 and got[4] > 1000 and token_sizes(df.where("false"), ["id"]).collect() == []
+    got = {r.id: r.n_tokens for r in token_sizes(df, ["id"], vocabulary=VOCABULARY).collect()}
+    assert got[1] > 0 and got[2] == got[3] == 0 and got[4] > 1000 and token_sizes(df.where("false"), ["id"], vocabulary=VOCABULARY).collect() == []
     model = os.path.join(os.path.dirname(VOCABULARY), "piece_bpe_32k.model")
     if os.path.exists(model):
         assert {r.id: r.n_tokens for r in token_sizes(df, ["id"], vocabulary=model).collect()}[1] > 0
+
+
+DATA = os.environ.get("LECTERN_TEST_DATA", "/root/testdata/sf0.001")
+tables = pytest.mark.skipif(not os.path.isdir(DATA) or not os.path.exists(VOCABULARY), reason="no test tables or vocabulary")
+
+
+@tables
+def test_packed_tables_keep_every_document_whole(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sizes = {r.doc_id: r.n_tokens for r in token_sizes(docs.select("doc_id", "text"), ["doc_id"], vocabulary=VOCABULARY).collect()}
+    got = QUERIES["p6_packed"](spark, DATA).toPandas()
+    packs = {r.pack: r.capacity_tokens for r in spark.read.parquet(f"{DATA}/pack_size.parquet").collect()}
+    assert set(got["pack"]) == set(packs)
+    for name, capacity in packs.items():
+        rows = got[got["pack"] == name]
+        assert rows.groupby("doc_id")["tokens"].sum().to_dict() == {i: n for i, n in sizes.items() if n}
+        assert {i for i, n in rows["doc_id"].value_counts().items() if n > 1} == {i for i, n in sizes.items() if n > capacity}
+        assert rows.groupby("container")["tokens"].sum().max() <= capacity
+    report = {r.pack: r for r in QUERIES["p6_report"](spark, DATA).collect()}
+    for name, capacity in packs.items():
+        least = -(-sum(sizes.values()) // capacity)
+        assert report[name].containers <= max(least * 1.05, least + 2) and report[name].tokens == sum(sizes.values())
+
+
+@tables
+def test_mixed_tables_reach_their_shares(spark):
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source").collect()}
+    targets = {r.source: r for r in spark.read.parquet(f"{DATA}/mix_target.parquet").collect()}
+    drawn = QUERIES["p7_mixture"](spark, DATA).collect()
+    assert len({r.doc_id for r in drawn}) == len(drawn) and all(docs[r.doc_id] == r.source and 1 <= r.copies <= targets[r.source].max_repeat for r in drawn)
+    report = {r.source: r for r in QUERIES["p7_shares"](spark, DATA).collect()}
+    present = {s for s in targets if s in set(docs.values())}
+    rest = sum(targets[s].target_share for s in present)
+    assert set(report) == set(targets) and sum(r.actual_share for r in report.values()) == pytest.approx(1, abs=1e-4)
+    assert all(report[s].actual_share == pytest.approx(targets[s].target_share / rest, abs=0.03) for s in present)
+    margins = QUERIES["p7_margins"](spark, DATA).collect()
+    assert {r.margin for r in margins} == {"language", "topic"} and sum(r.target_share for r in margins) == pytest.approx(2, abs=1e-3)
