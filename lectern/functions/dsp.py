@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import os
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -63,22 +66,79 @@ def _low_cut(rate: int, f0: float) -> np.ndarray:
 def integrated_loudness(x: np.ndarray, rate: int) -> float | None:
     """LUFS of (channels, frames): 400 ms blocks at 100 ms steps, gated at -70 LUFS and 10 LU below the mean. None if
     there is no whole block above the gate."""
-    size, step = int(0.4 * rate), int(0.1 * rate)
-    if x.shape[1] < size or not step:
-        return None
-    power = np.zeros((x.shape[1] - size) // step + 1)
-    for c, channel in enumerate(x):
-        total = np.r_[0.0, np.cumsum(_fft_filter(channel, _weighting(rate)) ** 2)]
-        at = np.arange(len(power)) * step
-        power += (1.41 if x.shape[0] == 5 and c >= 3 else 1.0) * np.maximum(total[at + size] - total[at], 0.0) / size
-    with np.errstate(divide="ignore"):
-        level = -0.691 + 10 * np.log10(power)
-    kept = level > -70
-    if not kept.any():
-        return None
-    gate = -0.691 + 10 * np.log10(power[kept].mean()) - 10
-    kept &= level > gate
-    return float(-0.691 + 10 * np.log10(power[kept].mean())) if kept.any() else None
+    meter = Meter(rate, len(x), peaks=False)
+    meter.feed(x)
+    return meter.loudness()
+
+
+class Meter:
+    """Loudness and peaks of a recording that comes in blocks of frames.
+
+    What a filter and a 400 ms block need of earlier frames is kept, a second at most, so memory doesn't grow with the
+    recording, and blocks of any size give the same result as all frames at once.
+    """
+
+    def __init__(self, rate: int, channels: int, peaks: bool = True):
+        self.rate, self.size, self.step, self.peaks = rate, int(0.4 * rate), int(0.1 * rate), peaks
+        self.weights = [1.41 if channels == 5 and c >= 3 else 1.0 for c in range(channels)]
+        self.before = [np.zeros(0)] * channels  # for the weighting
+        self.near = [np.zeros(0)] * channels  # for the oversampling
+        self.squares = [np.zeros(0)] * channels
+        self.power: list[np.ndarray] = []
+        self.top = self.highest = 0.0
+
+    def feed(self, x: np.ndarray) -> None:
+        """Takes (channels, frames)."""
+        if not x.shape[1]:
+            return
+        h = _weighting(self.rate)
+        made = []
+        for c, channel in enumerate(x):
+            joined = np.r_[self.before[c], channel]
+            y = _fft_filter(joined, h)[len(self.before[c]) :]
+            self.before[c] = joined[max(0, len(joined) - len(h) + 1) :]
+            self.squares[c] = np.r_[self.squares[c], y**2]
+            if self.step and len(self.squares[c]) >= self.size:
+                at = np.arange((len(self.squares[c]) - self.size) // self.step + 1) * self.step
+                total = np.r_[0.0, np.cumsum(self.squares[c])]
+                made.append(self.weights[c] * np.maximum(total[at + self.size] - total[at], 0.0) / self.size)
+                self.squares[c] = self.squares[c][len(at) * self.step :]
+            if self.peaks:
+                self.highest = max(self.highest, float(np.abs(channel).max()))
+                self._between(c, channel, last=False)
+        if made:
+            self.power.append(np.sum(made, axis=0))
+
+    def _between(self, c: int, channel: np.ndarray, last: bool, half: int = 16, factor: int = 4) -> None:
+        """Peaks between the samples; those near the end wait for what follows."""
+        joined = np.r_[self.near[c], channel]
+        known = len(joined) if last else max(0, len(joined) - half)
+        done = min(half, len(self.near[c]) // 2) if len(self.near[c]) == 2 * half else 0
+        if known > done:
+            up = oversampled(joined, factor)[done * factor : known * factor]
+            self.top = max(self.top, float(np.abs(up).max(initial=0.0)))
+        self.near[c] = joined[max(0, len(joined) - 2 * half) :]
+
+    def loudness(self) -> float | None:
+        if not self.power:
+            return None
+        power = np.concatenate(self.power)
+        with np.errstate(divide="ignore"):
+            level = -0.691 + 10 * np.log10(power)
+        kept = level > -70
+        if not kept.any():
+            return None
+        gate = -0.691 + 10 * np.log10(power[kept].mean()) - 10
+        kept &= level > gate
+        return float(-0.691 + 10 * np.log10(power[kept].mean())) if kept.any() else None
+
+    def true_peak(self) -> float:
+        for c in range(len(self.near)):
+            self._between(c, np.zeros(0), last=True)
+        return db(self.top)
+
+    def sample_peak(self) -> float:
+        return db(self.highest)
 
 
 @lru_cache(maxsize=4)
@@ -215,31 +275,42 @@ def master(x: np.ndarray, rate: int, s: Mastering = Mastering()) -> np.ndarray:
         y = low_cut(y, rate, s.low_cut_hz)
     if s.compressor:
         y = compress(y, rate)
-    for _ in range(3):
-        loud = integrated_loudness(y[None], rate)
-        if loud is None or abs(loud - s.target_lufs) <= 0.3:
-            break
-        y = limit(y * 10 ** ((s.target_lufs - loud) / 20), rate, s.true_peak_max)
-    y = limit(y, rate, s.true_peak_max) if true_peak(y[None]) > s.true_peak_max else y
+    loud = integrated_loudness(y[None], rate)
+    if loud is not None and s.target_lufs - loud > 0.5:  # half of what is missing before the limiter, the rest behind it
+        y = y * 10 ** (0.5 * (s.target_lufs - loud) / 20)
+    y = limit(y, rate, s.true_peak_max)
+    loud = integrated_loudness(y[None], rate)
+    if loud is not None and abs(s.target_lufs - loud) > 0.3:
+        y = y * 10 ** ((s.target_lufs - loud) / 20)
+        if loud < s.target_lufs:  # only more gain can lift peaks over the limit again
+            y = limit(y, rate, s.true_peak_max)
     return resample(fix_silence(y, rate, s.silence_seconds, s.silence_dbfs), rate, s.sample_rate)
 
 
-def measure_files(files: DataFrame, *, content: str = "content", path: str = "path") -> DataFrame:
-    """(path, lufs, true_peak, sample_peak, error) of containers held in a binary column, such as binaryFile gives."""
+def measured(stream: BinaryIO, size: int, block: int = 480_000) -> tuple[float | None, float, float]:
+    """(LUFS, true peak, sample peak) of a container, read block by block."""
+    h = wavcodec.read_header(stream, size)
+    meter = Meter(h.sample_rate, h.channels)
+    for start in range(0, h.n_frames, block):
+        meter.feed(wavcodec.to_float(wavcodec.read_frames(stream, h, start, block), h))
+    return meter.loudness(), meter.true_peak(), meter.sample_peak()
+
+
+def measure_files(files: DataFrame, *, path: str = "path") -> DataFrame:
+    """(path, lufs, true_peak, sample_peak, error) of the containers at the paths, which are never held as a whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for p, raw in zip(pdf[path], pdf[content]):
+            for p in pdf[path]:
                 try:
-                    h, _ = wavcodec.parse(bytes(raw))
-                    x = wavcodec.to_float(wavcodec.read_frames(io.BytesIO(raw), h), h)
-                    rows.append((p, integrated_loudness(x, h.sample_rate), true_peak(x), sample_peak(x), None))
-                except (wavcodec.WavError, TypeError) as e:
+                    with open(p, "rb") as stream:
+                        rows.append((p, *measured(stream, os.path.getsize(p)), None))
+                except (OSError, ValueError, TypeError, struct.error) as e:
                     rows.append((p, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "lufs", "true_peak", "sample_peak", "error"])
 
-    return files.select(path, content).mapInPandas(run, "path string, lufs double, true_peak double, sample_peak double, error string")
+    return files.select(path).mapInPandas(run, "path string, lufs double, true_peak double, sample_peak double, error string")
 
 
 def master_files(files: DataFrame, settings: Mastering = Mastering(), *, content: str = "content", path: str = "path") -> DataFrame:

@@ -76,10 +76,13 @@ def preview(c: Column, length: int = 60) -> Column:
     return F.when(F.length(c) > length, F.concat(F.substring(c, 1, length), F.lit("..."))).otherwise(c)
 
 
-def without_chapter_headings(text: Column) -> Column:
-    """A text without its lines that only hold a chapter word and a number."""
-    words = r"chapter|capítulo|kapitel|chapitre|глава|अध्याय|અધ્યાય|অধ্যায়|ਅਧਿਆਇ|ଅଧ୍ୟାୟ|அதிகாரம்|అధ్యాయము|ಅಧ್ಯಾಯ|അദ്ധ്യായം"
-    return F.regexp_replace(text, rf"(?imU)^\s*(?:{words})\s+\d+\s*$", "")
+#: The words for chapter that open a heading.
+CHAPTER_WORDS = "chapter|अध्याय|அதிகாரம்|అధ్యాయము|ಅಧ್ಯಾಯ|അദ്ധ്യായം|অধ্যায়|ਅਧਿਆਇ|અધ્યાય|ଅଧ୍ୟାୟ"
+
+
+def without_chapter_headings(text: Column, words: str = CHAPTER_WORDS) -> Column:
+    """A text without the chapter word and number at the beginning of any of its lines."""
+    return F.regexp_replace(text, rf"(?imU)^[^\S\n]*(?:{words})\s*\d+", "")
 
 
 def loudness_summary(text: Column) -> tuple[Column, Column]:

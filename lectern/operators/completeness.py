@@ -32,11 +32,15 @@ def completeness(found: DataFrame, expected: DataFrame, *, keys: list[str], numb
     """
     each = found.where(F.col(number).isNotNull()).groupBy(*keys, F.col(number).cast("bigint").alias("__n")).agg(F.count("*").alias("__c"))
     groups = each.groupBy(*keys).agg(F.sum("__c").alias("found"), F.collect_list("__n").alias("__seen"), F.collect_list(F.when(F.col("__c") > 1, F.col("__n"))).alias("__twice"))
-    out = expected.select(*keys, F.col(upto).cast("bigint").alias("expected")).join(groups, keys, "left")
+    return judged(expected.select(*keys, F.col(upto).cast("bigint").alias("expected")).join(groups, keys, "left"))
+
+
+def judged(groups: DataFrame) -> DataFrame:
+    """The columns of completeness() from expected, found, __seen and __twice (the numbers found, and those repeated)."""
     none = F.array().cast("array<bigint>")
     seen = F.coalesce("__seen", none)
     wanted = F.when(F.col("expected") >= 1, F.sequence(F.lit(1).cast("bigint"), F.col("expected"))).otherwise(none)
-    out = out.withColumns(
+    out = groups.withColumns(
         {
             "found": F.coalesce("found", F.lit(0).cast("bigint")),
             "missing": F.array_sort(F.array_except(wanted, seen)),
@@ -68,7 +72,8 @@ def missing_chapters(files: DataFrame, books: DataFrame, *, book: str, chapter:
     known = files.where(F.col(chapter).isNotNull()).select(F.col(book).alias("book"), F.col(chapter).cast("bigint").alias("chapter")).join(F.broadcast(dim.select("book")), "book", "left_semi")
     seen = known.select("book").distinct().join(dim, "book")
     out = completeness(known, seen, keys=["book"], number="chapter", upto="total_chapters")
-    return out.select("book", F.col("expected").alias("total_chapters"), F.col("found").alias("files"), "missing", "missing_text", "repeated", (F.size("missing") == 0).alias("complete"))
+    present = F.array_except(F.when(F.col("expected") >= 1, F.sequence(F.lit(1).cast("bigint"), F.col("expected"))).otherwise(F.array().cast("array<bigint>")), F.col("missing"))
+    return out.select("book", F.col("expected").alias("total_chapters"), F.col("found").alias("files"), present.alias("present"), "missing", "missing_text", "repeated", (F.size("missing") == 0).alias("complete"))
 
 
 def sequence_gaps(rows: DataFrame, *, keys: list[str], number: str, most: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .series import longest, push_apart
+from .state import adjust
 
 
 def run_score(verse: str, words: list[str]) -> float:
@@ -84,22 +85,47 @@ def place_evenly(files: DataFrame, *, key: str, verses: str, duration: str) -> D
 
 
 def choose(candidates: DataFrame, files: DataFrame, *, key: str, verses: str) -> DataFrame:
-    """Of the placements by words, pauses and even steps (method), the first that covers half of the verses."""
-    rank = F.when(F.col("method") == "words", 1).when(F.col("method") == "pause", 2).otherwise(3)
-    counted = candidates.groupBy(key, "method").agg(F.count("*").alias("n")).join(files.select(key, F.col(verses).alias("__v")), key)
-    enough = counted.where((F.col("n") >= 0.5 * F.col("__v")) | (F.col("method") == "even"))
-    best = enough.groupBy(key).agg(F.min_by("method", rank).alias("method"))
-    return candidates.join(best, [key, "method"])
+    """Of the placements by words, pauses and even steps (method), those to be used for each recording.
+
+    Words, if they place at least half of the verses; else pauses, if they place more than words do, noted as 'combined'
+    where words placed some; else what words placed; even steps only where neither places any.
+    """
+    counted = candidates.groupBy(key, "method").agg(F.count("*").alias("n"))
+    of = lambda m: F.coalesce(F.sum(F.when(F.col("method") == m, F.col("n"))), F.lit(0))
+    best = counted.groupBy(key).agg(of("words").alias("w"), of("pause").alias("p")).join(files.select(key, F.col(verses).alias("__v")), key)
+    use = F.when((F.col("w") > 0) & (F.col("w") >= 0.5 * F.col("__v")), "words").when(F.col("p") > F.col("w"), "pause").when(F.col("w") > 0, "words").otherwise("even")
+    best = best.select(key, use.alias("method"), (F.col("w") > 0).alias("__both"))
+    return candidates.join(best, [key, "method"]).withColumn("method", F.when((F.col("method") == "pause") & F.col("__both"), "combined").otherwise(F.col("method"))).drop("__both")
+
+
+def observed(pauses: DataFrame, *, duration: str = "duration", least_s: float = 0.1, most_s: float = 5.0) -> DataFrame:
+    """The pauses that may be learned from: neither gaps between words nor long silences."""
+    return pauses.where(F.col(duration).between(least_s, most_s))
+
+
+def timeline(heard: DataFrame, *, key: str) -> DataFrame:
+    """(key, pos, start, end, word) from heard(key, start, end, text, words array<struct<start, end, word>>), the segments
+    of a recogniser: its words, or, for a recording for which it gave none at all, its segments as they are.
+
+    A word without its own times takes its segment's.
+    """
+    rows = heard.withColumn("words", F.coalesce("words", F.array().cast(heard.schema["words"].dataType)))
+    has = rows.groupBy(key).agg(F.max(F.size("words") > 0).alias("__has"))
+    rows = rows.join(has, key).withColumn("words", F.when(F.col("__has"), F.col("words")).otherwise(F.array(F.struct("start", "end", F.col("text").alias("word")))))
+    words = rows.select(key, F.col("start").alias("s"), F.col("end").alias("e"), F.posexplode("words").alias("i", "w"))
+    words = words.select(key, "s", "i", F.coalesce("w.start", "s").alias("start"), F.coalesce("w.end", "e").alias("end"), F.trim(F.coalesce("w.word", F.lit(""))).alias("word"))
+    place = Window.partitionBy(key).orderBy("s", "i")
+    return words.select(key, F.row_number().over(place).cast("bigint").alias("pos"), "start", "end", "word")
 
 
 def finish(placed: DataFrame, files: DataFrame, *, key: str, rate: str, duration: str, gap_s: float = 0.1) -> DataFrame:
     """(key, ord, label, sample_offset, time_s, confidence, method): a title a second before the first verse, verses at
     least a gap apart and within the recording."""
-    title = placed.groupBy(key).agg(F.min("time_s").alias("t"), F.min("method").alias("method"))
-    title = title.select(key, F.lit("Chapter Title").alias("label"), F.lit(0).cast("bigint").alias("verse"), F.greatest(F.col("t") - 1.0, F.lit(0.0)).alias("time_s"), F.lit(1.0).alias("confidence"), "method")
+    title = placed.groupBy(key).agg(F.min("time_s").alias("t"))
+    title = title.select(key, F.lit("Chapter Title").alias("label"), F.lit(0).cast("bigint").alias("verse"), F.greatest(F.col("t") - 1.0, F.lit(0.0)).alias("time_s"), F.lit(0.9).alias("confidence"), F.lit("auto").alias("method"))
     every = title.unionByName(placed.select(key, F.format_string("Verse %d", "verse").alias("label"), "verse", "time_s", "confidence", "method"))
     every = every.join(files.select(key, F.col(rate).alias("__rate"), F.col(duration).alias("__duration")), key)
-    every = every.withColumn("ms", F.floor(F.col("time_s") * 1000).cast("bigint"))
+    every = every.withColumn("ms", F.floor(F.col("time_s") * 1000 + 1e-6).cast("bigint"))
     apart = push_apart(every, keys=[key], position="ms", tie="verse", gap=int(gap_s * 1000))
     end = F.greatest(F.col("__duration") * F.col("__rate") - 1, F.lit(0)).cast("bigint")
     offset = F.least(F.floor(F.col("placed") * F.col("__rate") / 1000).cast("bigint"), end)
@@ -107,14 +133,30 @@ def finish(placed: DataFrame, files: DataFrame, *, key: str, rate: str, duration
     return apart.select(key, F.row_number().over(w).alias("ord"), "label", offset.alias("sample_offset"), (F.col("placed") / 1000).alias("time_s"), "confidence", "method")
 
 
-def auto_mark(files: DataFrame, script: DataFrame, *, key: str, verses: str, duration: str, rate: str, words: DataFrame | None = None, pauses: DataFrame | None = None, gap_s: float = 0.1) -> DataFrame:
-    """Placements for each file by the best way there is; words, the output of any speech recogniser, is optional."""
+def auto_mark(
+    files: DataFrame, script: DataFrame | None, *, key: str, verses: str, duration: str, rate: str, words: DataFrame | None = None, pauses: DataFrame | None = None,
+    corrections: DataFrame | None = None, profile: list[str] = (), gap_s: float = 0.1,
+) -> DataFrame:
+    """Placements for each file by the best way there is; words, the output of any speech recogniser, is optional.
+
+    corrections(*profile, verse, expected, corrected, seq), the log of what was moved by hand, shifts markers of files
+    with the same profile columns as state.adjust does; the method of those that are moved ends in '+corrected'.
+    """
     found = place_evenly(files, key=key, verses=verses, duration=duration)
     if pauses is not None:
         found = found.unionByName(place_by_pauses(pauses, files, key=key, verses=verses))
-    if words is not None:
+    if words is not None and script is not None:
         found = found.unionByName(place_by_words(words, script, key=key))
-    return finish(choose(found, files, key=key, verses=verses), files, key=key, rate=rate, duration=duration, gap_s=gap_s)
+    chosen = choose(found, files, key=key, verses=verses)
+    if corrections is not None:
+        own = [c for c in profile if c != key]
+        placed = chosen.join(files.select(key, *own), key) if own else chosen
+        known = corrections.select(*profile).distinct().withColumn("__known", F.lit(True))
+        moved = adjust(placed, corrections, keys=list(profile), verse="verse", time="time_s", expected="expected", corrected="corrected", order="seq").join(known, list(profile), "left")
+        near = F.coalesce(F.col("__known") & (F.col("adjusted") != F.col("time_s")), F.lit(False))
+        moved = moved.withColumn("method", F.when(near, F.concat("method", F.lit("+corrected"))).otherwise(F.col("method"))).withColumn("time_s", F.when(near, F.col("adjusted")).otherwise(F.col("time_s")))
+        chosen = moved.select(key, "verse", "time_s", "confidence", "method")
+    return finish(chosen, files, key=key, rate=rate, duration=duration, gap_s=gap_s)
 
 
 def retained(markers: DataFrame, *, old_rate: Column, new_rate: Column, shift_s: Column | float, duration_s: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .functions import numeric, text, timecode
 from .functions.similarity import greedy_similarity, text_similarity
+from .functions.text import verse_number
 from .operators import marking, script, series, state
 from .session import spread, table
 
@@ -142,7 +143,7 @@ def script_verification(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verse_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return script.verses(spread(table(spark, d, "parsed_script").select("script_id", "raw_text"), "script_id"), key="script_id", text="raw_text")
+    return script.verses(spread(table(spark, d, "parsed_script").select("script_id", "raw_text"), "script_id"), key="script_id", text="raw_text", keep_headings=True)
 
 
 def segment_words(spark: SparkSession, d: str) -> DataFrame:
@@ -196,22 +197,53 @@ def even_marks(spark: SparkSession, d: str) -> DataFrame:
     return out.select("path", "verse", F.floor(F.col("time_s") * 1000 + 0.25).cast("bigint").alias("time_ms"))
 
 
-def auto_mark(spark: SparkSession, d: str) -> DataFrame:
-    """Pauses are the gaps between the verses' times of verse_comparison."""
+def _verses_heard(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(words, script) from verse_comparison: of each path and verse the first comparison, the words of its transcript
+    0.4 s apart from where it starts. Repeated comparisons of a verse would be the same verse heard twice in a recording."""
+    v = table(spark, d, "verse_comparison").where("path IS NOT NULL")
+    one = v.groupBy("path", F.col("verse_number").cast("bigint").alias("verse")).agg(F.min_by(F.struct("expected_text", "transcribed_text", "start_s"), "comparison_id").alias("x")).select("path", "verse", "x.*")
+    words = one.where("transcribed_text IS NOT NULL").select("path", "verse", F.coalesce("start_s", F.col("verse") * 10.0).alias("s"), F.posexplode(F.split("transcribed_text", " ")).alias("i", "word"))
+    words = words.select("path", (F.col("verse") * 1000 + F.col("i")).alias("pos"), (F.col("s") + F.col("i") * 0.4).alias("start"), "word")
+    return words, one.select("path", "verse", F.col("expected_text").alias("text"))
+
+
+def _gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Pauses: the gaps between the verses' times of verse_comparison."""
     v = table(spark, d, "verse_comparison").where("path IS NOT NULL AND start_s IS NOT NULL AND end_s IS NOT NULL").select("path", "start_s", "end_s").distinct()
     w = Window.partitionBy("path").orderBy("start_s", "end_s")
-    gaps = v.select("path", F.col("end_s").alias("start"), F.lead("start_s").over(w).alias("end")).where("end > start").withColumn("duration", F.col("end") - F.col("start"))
-    empty = table(spark, d, "script_verse").where("false").select(F.lit("").alias("path"), F.col("verse").cast("bigint").alias("verse"), "text")
-    return marking.auto_mark(_recordings(spark, d), empty, key="path", verses="verses", duration="duration", rate="rate", pauses=gaps)
+    return v.select("path", F.col("end_s").alias("start"), F.lead("start_s").over(w).alias("end")).where("end > start").withColumn("duration", F.col("end") - F.col("start"))
+
+
+def _marked(spark: SparkSession, d: str, **more: object) -> DataFrame:
+    files = _recordings(spark, d)
+    out = marking.auto_mark(files, more.pop("script", None), key="path", verses="verses", duration="duration", rate="rate", pauses=_gaps(spark, d), **more)
+    return out.select("path", "ord", "label", F.floor(F.col("time_s") * 1000 + 0.25).cast("bigint").alias("time_ms"), "method")
+
+
+def auto_mark(spark: SparkSession, d: str) -> DataFrame:
+    """All three ways to place markers, with the corrections that were made to earlier recordings."""
+    words, asked = _verses_heard(spark, d)
+    made = table(spark, d, "csv_marker").where("path IS NOT NULL AND start_seconds IS NOT NULL").select(
+        "path", verse_number(F.col("name")).cast("bigint").alias("verse"), F.col("start_seconds").alias("expected"), (F.col("start_seconds") * 1.01 + 0.2).alias("corrected"), F.col("csv_id").alias("seq")
+    )
+    return _marked(spark, d, script=asked, words=words, corrections=made.where("verse IS NOT NULL"), profile=["path"])
+
+
+def pause_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Markers without a recogniser: by pauses, or evenly where there are none."""
+    return _marked(spark, d)
+
+
+def pause_observations(spark: SparkSession, d: str) -> DataFrame:
+    """The pauses that are learned from, and their moving mean for each recording."""
+    seen = marking.observed(_gaps(spark, d))
+    return state.exponential_mean(seen, keys=["path"], value="duration", order="start").select("path", F.round("mean", 5).alias("mean"))
 
 
 def align_words(spark: SparkSession, d: str) -> DataFrame:
     """Expected verses aligned with the words of the transcripts."""
-    v = table(spark, d, "verse_comparison").where("path IS NOT NULL")
-    one = v.groupBy("path", F.col("verse_number").cast("bigint").alias("verse")).agg(F.min_by(F.struct("expected_text", "transcribed_text"), "comparison_id").alias("x")).select("path", "verse", "x.*")
-    words = one.where("transcribed_text IS NOT NULL").select("path", "verse", F.posexplode(F.split("transcribed_text", " ")).alias("i", "word"))
-    words = words.select("path", (F.col("verse") * 1000 + F.col("i")).alias("pos"), (F.col("verse") * 10.0 + F.col("i") * 0.4).alias("start"), "word")
-    return marking.place_by_words(words, one.select("path", "verse", F.col("expected_text").alias("text")), key="path")
+    words, asked = _verses_heard(spark, d)
+    return marking.place_by_words(words, asked, key="path")
 
 
 _E = "e AS (SELECT event_id, user_id, event_type, value::DOUBLE AS value, props, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
@@ -228,7 +260,7 @@ QUERIES = {
     for f in (
         pause_islands, head_run, tail_run, top_pauses, segments_lead, midpoint_range_join, envelope, bucket_peaks, min_gap_push, thinning, clip_stats, clip_gain_clip, clip_head_silence, clip_envelope,
         time_parse, time_format, level_tally, loudness_parse, text_normalize, greedy_match, block_similarity, script_verification, verse_blocks, segment_words, learned_profiles, ema_state, running_means,
-        latest_per_key, damped_adjust, even_marks, auto_mark, align_words,
+        latest_per_key, damped_adjust, even_marks, auto_mark, pause_marks, pause_observations, align_words,
     )
 }
 SQL = {

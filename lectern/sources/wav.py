@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import glob
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +24,10 @@ SCHEMAS = {
 
 
 def list_files(paths: list[str]) -> list[str]:
-    """Recordings in order: explicit files as given, folders searched to all depths in order of name; each path once."""
+    """Recordings in order, as absolute paths: explicit files as given, folders searched to all depths in order of name;
+    each path once."""
     found: dict[str, None] = {}
-    for path in paths:
+    for path in map(os.path.abspath, paths):
         if os.path.isdir(path):
             inside = (p for p in glob.iglob(os.path.join(glob.escape(path), "**", "*"), recursive=True) if p.lower().endswith(".wav"))
             for p in sorted(inside):
@@ -60,7 +63,7 @@ class WavReader(DataSourceReader):
                 with open(path, "rb") as stream:
                     header = wavcodec.read_header(stream, os.path.getsize(path))
                     yield from getattr(self, "_" + self.view)(path, stream, header)
-            except (OSError, wavcodec.WavError) as e:
+            except (OSError, wavcodec.WavError, struct.error) as e:
                 if self.view == "header":
                     yield (path, os.path.basename(path), *[None] * 9, str(e))
 
@@ -123,7 +126,7 @@ def read(spark: SparkSession, paths: list[str], view: str = "header", **options:
     reader = spark.read.format("wav").option("view", view)
     for k, v in options.items():
         reader = reader.option(k, str(v))
-    return reader.load(",".join(paths))
+    return reader.load(",".join(map(os.path.abspath, paths)))  # the source runs in another process, in its own folder
 
 
 def silence(peaks: DataFrame, *, threshold_dbfs: float = -60.0, expected_s: float = 2.0) -> DataFrame:
@@ -156,8 +159,19 @@ def cut_segments(segments: DataFrame, *, path: str = "path", start: str = "start
     return segments.mapInPandas(run, schema)
 
 
-def write_marked(placements: DataFrame, *, key: str = "path", suffix: str = "_marked") -> DataFrame:
-    """Writes a copy of each recording with the placed markers beside it and returns (path, output, markers, error).
+def sidecar_text(rows: list[tuple[str, float]]) -> str:
+    """A sidecar file's text for names and their seconds."""
+    def told(t: float) -> str:
+        ms = round(t * 1000)
+        return f"{ms // 60000}:{ms // 1000 % 60:02d}.{ms % 1000:03d}"
+
+    lines = ["Name\tStart\tDuration\tTime Format\tType\tDescription", *(f"{name}\t{told(t)}\t0:00.000\tdecimal\tCue\t" for name, t in rows)]
+    return "\ufeff" + "\n".join(lines) + "\n"
+
+
+def write_marked(placements: DataFrame, *, key: str = "path", suffix: str = "_marked", sidecar: bool = False) -> DataFrame:
+    """Writes a copy of each recording with the placed markers beside it, and with `sidecar` also the marker file of that
+    copy, and returns (path, output, markers, error).
 
     Runs when the result is used; a recording's placements are one row, its file is read and written in one task.
     """
@@ -180,9 +194,82 @@ def write_marked(placements: DataFrame, *, key: str = "path", suffix: str = "_ma
                     with open(target + ".part", "wb") as sink:
                         sink.write(made)
                     os.replace(target + ".part", target)  # a task that runs twice leaves one whole file
+                    if sidecar:
+                        listing = os.path.splitext(target)[0] + ".csv"
+                        with open(listing + ".part", "w", encoding="utf-8") as sink:
+                            sink.write(sidecar_text([(c["label"], int(c["sample_offset"]) / h.sample_rate) for c in cues]))
+                        os.replace(listing + ".part", listing)
                     out.append((path, target, len(cues), None))
                 except (OSError, wavcodec.WavError) as e:
                     out.append((path, None, 0, str(e)))
             yield pd.DataFrame(out, columns=["path", "output", "markers", "error"])
 
     return lists.mapInPandas(run, "path string, output string, markers long, error string")
+
+
+def export_markers(spark: SparkSession, paths: list[str], folder: str | None = None) -> DataFrame:
+    """Writes each recording's markers into a sidecar file, beside it or in `folder`, and returns (path, output, markers,
+    status, error): 'ok', 'skip' for one without markers, 'fail' for one that can't be read or written.
+
+    One task a few recordings; the header's chunks are read, not the samples.
+    """
+    header = read(spark, paths, "header").select("path", "error")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                target = os.path.splitext(path)[0] + ".csv"
+                target = os.path.join(folder, os.path.basename(target)) if folder else target
+                try:
+                    with open(path, "rb") as stream:
+                        h = wavcodec.read_header(stream, os.path.getsize(path))
+                    cues = wavcodec.read_cues(h)
+                    if cues:
+                        with open(target + ".part", "w", encoding="utf-8") as sink:
+                            sink.write(sidecar_text([(c.label, c.sample_offset / h.sample_rate) for c in cues]))
+                        os.replace(target + ".part", target)
+                    out.append((path, target if cues else None, len(cues), "ok" if cues else "skip", None))
+                except (OSError, wavcodec.WavError, struct.error) as e:
+                    out.append((path, None, 0, "fail", str(e)))
+            yield pd.DataFrame(out, columns=["path", "output", "markers", "status", "error"])
+
+    return header.mapInPandas(run, "path string, output string, markers long, status string, error string")
+
+
+def fix_files(spark: SparkSession, paths: list[str], *, seconds: float = 2.0, threshold_dbfs: float = -60.0) -> DataFrame:
+    """Writes a copy of each recording, in the folder for fixed ones, whose quiet edges are cut or filled up to `seconds`,
+    with its markers moved along, and returns (path, output, head_s, tail_s, error)."""
+    from ..functions.dsp import edges, fix_silence
+
+    header = read(spark, paths, "header").select("path")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                try:
+                    with open(path, "rb") as stream:
+                        h = wavcodec.read_header(stream, os.path.getsize(path))
+                        x = wavcodec.to_mono(wavcodec.to_float(wavcodec.read_frames(stream, h), h))
+                    head, tail = edges(x, threshold_dbfs)
+                    y = fix_silence(x, h.sample_rate, seconds, threshold_dbfs)
+                    shift = round(seconds * h.sample_rate) - (head if head < len(x) else 0)
+                    cues = [(c.sample_offset + shift, c.label) for c in wavcodec.read_cues(h) if 0 <= c.sample_offset + shift < len(y)]
+                    bits = h.bits if h.audio_format != wavcodec.FLOAT else 24
+                    stem, name = os.path.splitext(os.path.basename(path))[0], os.path.basename(path)
+                    target = os.path.join(os.path.dirname(path), re.split(r"[_ .-]", stem, maxsplit=1)[0] + "_Fixed", name)
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    with open(target + ".part", "wb") as sink:
+                        sink.write(wavcodec.write(wavcodec.from_float(y, bits), channels=1, sample_rate=h.sample_rate, bits=bits, cues=cues))
+                    os.replace(target + ".part", target)
+                    out.append((path, target, head / h.sample_rate, tail / h.sample_rate, None))
+                except (OSError, wavcodec.WavError, struct.error) as e:
+                    out.append((path, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "output", "head_s", "tail_s", "error"])
+
+    return header.mapInPandas(run, "path string, output string, head_s double, tail_s double, error string")

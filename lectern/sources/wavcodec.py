@@ -80,6 +80,10 @@ def read_header(stream: BinaryIO, size: int) -> Header:
         at += 8 + length + (length & 1)
     if not header.channels or not header.data_offset:
         raise WavError("no format or no samples")
+    if not header.sample_rate:
+        raise WavError("a sample rate of 0")
+    if header.sampwidth not in ((4, 8) if header.audio_format == FLOAT else (1, 2, 3, 4)):
+        raise WavError(f"samples of {header.bits} bits can't be read")
     if "cue " not in header.chunks:
         _rescan(stream, size, header)
     return header
@@ -91,9 +95,12 @@ def _rescan(stream: BinaryIO, size: int, header: Header) -> None:
         stream.seek(start)
         tail = stream.read(min(RESCAN_BYTES, max(0, size - start)))
         at = 0
-        while at + 8 <= len(tail):
+        while True:
+            at = min((i for i in (tail.find(b"cue ", at), tail.find(b"LIST", at)) if i >= 0), default=-1)
+            if at < 0 or at + 8 > len(tail):
+                break
             tag, length = struct.unpack_from("<4sI", tail, at)
-            if tag in (b"cue ", b"LIST") and at + 8 + length <= len(tail):
+            if at + 8 + length <= len(tail):
                 _keep(header, tag, tail[at + 8 : at + 8 + length])
                 at += 8 + length + (length & 1)
             else:

@@ -141,12 +141,128 @@ def test_signals():
     assert len(dsp.fix_silence(np.zeros(100), 100, 1.0)) == 300 and len(dsp.resample(tone[0], 48000, 44100)) == 5 * 44100
 
 
+def test_meter_in_blocks_equals_the_whole():
+    rng = np.random.default_rng(3)
+    for rate, channels in ((48000, 2), (11025, 1), (8000, 5)):
+        x = 0.2 * rng.standard_normal((channels, rate * 3 + 7))
+        x[0, :5] = 1.3
+        whole = dsp.Meter(rate, channels)
+        whole.feed(x)
+        for block in (97, 4000, rate):
+            parts = dsp.Meter(rate, channels)
+            for at in range(0, x.shape[1], block if block > 97 else 977):
+                parts.feed(x[:, at : at + (block if block > 97 else 977)])
+            assert parts.loudness() == pytest.approx(whole.loudness(), abs=1e-6) and parts.sample_peak() == whole.sample_peak()
+            assert parts.true_peak() == pytest.approx(dsp.true_peak(x), abs=0.02)
+    assert dsp.Meter(8000, 1).loudness() is None
+
+
+def test_odd_headers_are_errors_not_crashes(spark, tmp_path):
+    good = bytearray(wavcodec.synthetic(["Verse 1"], rate=8000, bits=16))
+    zero, odd = bytearray(good), bytearray(good)
+    zero[24:28] = struct.pack("<I", 0)
+    odd[34:36] = struct.pack("<H", 48)
+    for name, raw in (("zero.wav", zero), ("odd.wav", odd), ("good.wav", good)):
+        (tmp_path / name).write_bytes(bytes(raw))
+    for view in ("header", "markers", "peaks", "envelope", "pcm"):
+        assert {r.path.rsplit("/", 1)[1] for r in wav.read(spark, [str(tmp_path)], view).select("path").distinct().collect()} >= {"good.wav"}
+    told = {r.filename: r.error for r in wav.read(spark, [str(tmp_path)]).collect()}
+    assert "rate" in told["zero.wav"] and "48 bits" in told["odd.wav"] and told["good.wav"] is None
+    late = bytearray(wavcodec.synthetic(["Verse 1", "Verse 2"], rate=8000, bits=16))
+    at = late.index(b"data")
+    late[at + 4 : at + 8] = struct.pack("<I", 1000)
+    late[at + 8 + 2001 : at + 8 + 2019] = b"cue cue \xff\xff\xff\x7fLISTxx"  # false beginnings before the markers
+    assert [c.label for c in wavcodec.parse(bytes(late))[1]] == ["Verse 1", "Verse 2"]
+
+
+def test_relative_paths(spark, folder, monkeypatch):
+    monkeypatch.chdir(folder.parent)
+    files, items = check_recordings(spark, [folder.name + "/good"], Settings(target_lufs=-9.2, lufs_tolerance=3.0))
+    assert {r.name: r.passed for r in items.where("name IN ('Loudness', 'True Peak')").collect()} == {"Loudness": True, "True Peak": True}
+
+
+def test_sidecar_columns_by_name_and_rejects(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("\ufeffStart\tName\tNotes\n0:01.000\t Verse 1 \tn\n0:00.500\n0:02.000\t\tn\n0:03.000\t\"Verse\t2\"\tn\n", encoding="utf-8")
+    (tmp_path / "y.csv").write_bytes(b"Name\tStart\n\xff\xfe\t1\n")
+    got = [(r.name, r.start_seconds, r.time_format, r.ord) for r in F.read_markers(spark, [str(tmp_path / "x.csv")]).orderBy("ord").collect()]
+    assert got == [("Verse 1", 1.0, "decimal", 1), ("Verse\t2", 3.0, "decimal", 2)]
+    told = {(r.path.rsplit("/", 1)[1], r.line_no): r.reason for r in F.marker_records(spark, [str(tmp_path / "*.csv")]).where("reason IS NOT NULL").collect()}
+    assert told[("x.csv", 3)] == "columns" and "decode" in told[("y.csv", None)]
+
+
+def test_settings_are_checked(tmp_path):
+    made, left = F.settings_from('{"target_lufs": -20, "expected_bits": 16.0, "strict_verse_spelling": false, "enable_verses": "no", "expected_sample_rate": 44100.5, "theme": "dark", "heading_name": null}')
+    assert (made.target_lufs, made.expected_bits, made.strict_verse_spelling, made.enable_verses, made.expected_sample_rate) == (-20.0, 16, False, True, 48000)
+    assert sorted(left) == ["enable_verses", "expected_sample_rate", "heading_name", "theme"]
+    assert F.settings_from("[1]") == (Settings(), ["the whole file"])
+
+
+def test_state_round_trip(spark, tmp_path):
+    rows = [("en:x", 0, "en", 1, 10.0, 11.0, "x", 5.0), ("en:x", 1, "en", 2, 20.0, 21.0, "x", 6.0), ("unknown:default", 0, None, 1, 1.0, 2.0, None, 7.0)]
+    log = spark.createDataFrame(rows, "profile string, seq int, language string, verse_number long, expected_time double, corrected_time double, reader_id string, timestamp double")
+    F.save_state(log, str(tmp_path / "s.json"), spark.createDataFrame([("en:x", 0.4)], "profile string, mean double"))
+    got = sorted(tuple(r) for r in F.read_state(spark, [str(tmp_path / "s.json")]).select("profile", "seq", "language", "verse_number", "expected_time", "corrected_time", "reader_id", "timestamp").collect())
+    assert got == sorted(rows)
+    told = json.loads((tmp_path / "s.json").read_text())["profiles"]["en:x"]
+    assert told["total_corrections"] == 2 and told["average_offset_s"] == 1.0 and told["average_pause_duration"] == 0.4
+
+
+def test_exporting_and_fixing_many(spark, tmp_path):
+    (tmp_path / "a_1.wav").write_bytes(wavcodec.synthetic(["Verse 1", "Verse 2"], rate=8000, bits=16, head_s=1.0, tail_s=3.0))
+    (tmp_path / "b_1.wav").write_bytes(wavcodec.synthetic([], rate=8000, bits=16))
+    (tmp_path / "c_1.wav").write_bytes(b"x")
+    done = wav.export_markers(spark, [str(tmp_path)])
+    assert {r.path[-7]: r.status for r in done.collect()} == {"a": "ok", "b": "skip", "c": "fail"}
+    assert {r.status: r.n for r in report.tally(done, "status").collect()} == {"ok": 1, "skip": 1, "fail": 1}
+    assert [(r.name, r.start_seconds) for r in F.read_markers(spark, [str(tmp_path / "a_1.csv")]).orderBy("ord").collect()] == [("Verse 1", 1.0), ("Verse 2", 1.2)]
+    fixed = {r.path[-7]: r for r in wav.fix_files(spark, [str(tmp_path / "a_1.wav"), str(tmp_path / "c_1.wav")]).collect()}
+    h, cues = wavcodec.parse(open(fixed["a"].output, "rb").read())
+    assert fixed["a"].output.endswith("a_Fixed/a_1.wav") and fixed["c"].error and abs(fixed["a"].head_s - 1.0) < 0.01
+    assert [round(c.sample_offset / 8000, 1) for c in cues] == [2.0, 2.2] and abs(h.seconds - 4.4) < 0.01
+
+
+def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
+    from lectern.__main__ import main
+
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    (tmp_path / "dim.json").write_text(json.dumps({"Genesis": [31, 25], "Jonah": [17], "Obadiah": [21]}))
+    (tmp_path / "names.json").write_text(json.dumps({"gen": "Genesis", "jon": "Jonah", "oba": "Obadiah"}))
+    (tmp_path / "c.json").write_text(json.dumps({"target_lufs": -9.2, "lufs_tolerance": 3.0}))
+    (folder / "good" / "Gen_001.csv").write_text("\ufeffName\tStart\tDuration\tTime Format\tType\tDescription\nVerse 1\t0:02.400\t0:00.000\tdecimal\tCue\t\nVerse 99\t1:00.000\t0:00.000\tdecimal\tCue\t\n", encoding="utf-8")
+    dims = ["--dimension", str(tmp_path / "dim.json"), "--aliases", str(tmp_path / "names.json"), "--config", str(tmp_path / "c.json")]
+    code = main([str(folder), *dims, "--json", str(tmp_path / "r.json"), "--mistakes", str(tmp_path / "m"), "--report", str(tmp_path / "f")])
+    said = capsys.readouterr().out
+    assert code == 2 and "[Genesis 1, expect 31 verses]" in said and "Genesis: missing 2; repeated 1" in said and "5, 17-19" in said and "in sidecar only: verse 99" in said
+    told = json.loads((tmp_path / "r.json").read_text())
+    assert len(told["files"]) == 5 and [b for b in told["missing_chapters"] if b["book"] == "Genesis"] == [{"book": "Genesis", "total_chapters": 2, "chapters_found": [1], "chapters_missing": [2], "duplicate_chapters": [1], "complete": False}]
+    jon = next(f for f in told["files"] if f["file"] == "Jon_001.WAV")
+    assert jon["book"] == "Jonah" and {"Marker Spelling", "Verses", "Tail Silence"} <= {c["name"] for c in jon["checks"] if c["status"] == "FAIL"}
+    mistakes = spark.read.csv(str(tmp_path / "m"), header=True).collect()
+    assert any(r.File is None and r.Book == "Genesis" for r in mistakes) and any(r.File == "Oba_001.wav" and "no markers" in r.Issues for r in mistakes)
+    assert spark.read.csv(str(tmp_path / "f"), header=True).where("Check = 'Missing Chapters'").count() == 1
+    (folder / "good" / "Gen_001.csv").unlink()
+    (tmp_path / "dim.json").write_text(json.dumps({"Genesis": [31]}))
+    assert main([str(folder / "good"), *dims]) == 0 and main([str(tmp_path)]) == 1 and main([str(folder), "--auto-mark"]) == 1
+    (tmp_path / "script.txt").write_text("Chapter 1\n1 In the beginning\n2 And the earth\n4 And more")
+    spark.createDataFrame([(str(folder / "good" / "Gen_001.wav"), 1, 2.4, 2.5, "in the beginning")], "path string, pos long, start double, end double, word string").write.parquet(str(tmp_path / "words"))
+    assert main([str(folder / "good"), *dims, "--script", str(tmp_path / "script.txt"), "--words", str(tmp_path / "words")]) == 2
+    said = capsys.readouterr().out
+    assert "verses missing: 3" in said and "Script Match" in said and "2 issues" in said
+    assert main([str(folder / "good"), "--script", str(tmp_path / "none.txt")]) == 1
+    target = tmp_path / "x_1.wav"
+    target.write_bytes(wavcodec.synthetic([f"Verse {i}" for i in range(1, 4)], rate=8000, bits=16))
+    assert main([str(target), "--auto-mark", "--script", str(tmp_path / "script.txt")]) == 0
+    assert [c.label for c in wavcodec.parse((tmp_path / "x_1_marked.wav").read_bytes())[1]] == ["Chapter Title", "Verse 2"]  # by the pause at the end
+    assert [r.name for r in F.read_markers(spark, [str(tmp_path / "x_1_marked.csv")]).orderBy("ord").collect()] == ["Chapter Title", "Verse 2"]
+
+
 def test_measuring_and_mastering_in_tasks(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(wavcodec.synthetic(["Verse 1", "Verse 2"], segment_s=1.0))
     (tmp_path / "b.wav").write_bytes(b"x")
     content = spark.read.format("binaryFile").load(str(tmp_path))
-    got = {r.path[-5:]: r for r in dsp.measure_files(content).collect()}
-    assert got["a.wav"].lufs < -5 and got["b.wav"].error
+    names = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.wav", "b.wav", "none.wav")], "path string")
+    got = {r.path.rsplit("/", 1)[1]: r for r in dsp.measure_files(names).collect()}
+    assert got["a.wav"].lufs < -5 and got["b.wav"].error and got["none.wav"].error
     done = {r.path[-5:]: r for r in dsp.master_files(content).collect()}
     h, cues = wavcodec.parse(bytes(done["a.wav"].mastered))
     assert (h.sample_rate, h.bits, h.channels, [c.label for c in cues]) == (48000, 24, 1, ["Verse 1", "Verse 2"])

@@ -219,8 +219,83 @@ def test_marking(spark):
     assert [(r.verse, r.time_s) for r in got] == [(2, 11.0), (3, 20.5), (4, 30.9)]
     said = spark.createDataFrame([], "path string, verse long, text string")
     made = marking.auto_mark(files, said, key="path", verses="verses", duration="duration", rate="rate", pauses=pauses).orderBy("path", "ord").collect()
-    assert [r.label for r in made if r.path == "p"] == ["Chapter Title", "Verse 2", "Verse 3", "Verse 4"] and {r.method for r in made if r.path == "q"} == {"even"}
+    assert [r.label for r in made if r.path == "p"] == ["Chapter Title", "Verse 2", "Verse 3", "Verse 4"] and {r.method for r in made if r.path == "q"} == {"auto", "even"}
     assert [r.sample_offset for r in made if r.path == "p"] == [1000, 1100, 2050, 3090]
+    few = pauses.where("start < 20")  # one pause for four verses is still better than even steps
+    assert {r.method for r in marking.auto_mark(files, said, key="path", verses="verses", duration="duration", rate="rate", pauses=few).where("path = 'p'").collect()} == {"auto", "pause"}
+
+
+def test_choice_of_placements(spark):
+    def chosen(words, pauses, verses=4):
+        rows = [("p", "words", i) for i in range(words)] + [("p", "pause", i) for i in range(pauses)] + [("p", "even", i) for i in range(verses)]
+        found = spark.createDataFrame(rows, "path string, method string, verse int")
+        files = spark.createDataFrame([("p", verses)], "path string, verses int")
+        got = [r.method for r in marking.choose(found, files, key="path", verses="verses").collect()]
+        return got[0], len(got)
+
+    assert chosen(2, 3) == ("words", 2) and chosen(1, 3) == ("combined", 3) and chosen(1, 1) == ("words", 1) and chosen(0, 1) == ("pause", 1) and chosen(0, 0) == ("even", 4)
+
+
+def test_corrections_shift_markers(spark):
+    files = spark.createDataFrame([("p", 2, 60.0, 100, "en"), ("q", 2, 60.0, 100, "xx")], "path string, verses int, duration double, rate int, profile string")
+    log = spark.createDataFrame([("en", 1, 10.0, 11.0, 1), ("en", 1, 10.0, 11.0, 2)], "profile string, verse long, expected double, corrected double, seq int")
+    plain, moved = (marking.auto_mark(files, None, key="path", verses="verses", duration="duration", rate="rate", corrections=c, profile=["profile"]).collect() for c in (None, log))
+    at = lambda rows: {(r.path, r.label): (round(r.time_s, 2), r.method) for r in rows}
+    before, after = at(plain), at(moved)
+    assert after["p", "Verse 1"][1] == "even+corrected" and after["p", "Verse 1"][0] == pytest.approx(before["p", "Verse 1"][0] + 1.0)
+    assert after["q", "Verse 1"] == before["q", "Verse 1"]
+    far = log.withColumn("corrected", F.lit(40.0))  # a shift of 5 seconds or more isn't believed
+    assert at(marking.auto_mark(files, None, key="path", verses="verses", duration="duration", rate="rate", corrections=far, profile=["profile"]).collect())["p", "Verse 1"] == before["p", "Verse 1"]
+
+
+def test_word_timeline_and_observed_pauses(spark):
+    kind = "path string, start double, end double, text string, words array<struct<start:double,end:double,word:string>>"
+    heard = spark.createDataFrame([("a", 0.0, 2.0, "x y", [(0.0, 1.0, " x"), (None, None, "y ")]), ("a", 2.0, 3.0, "z", None), ("b", 5.0, 6.0, "whole", [])], kind)
+    got = [(r.path, r.pos, r.start, r.end, r.word) for r in marking.timeline(heard, key="path").orderBy("path", "pos").collect()]
+    assert got == [("a", 1, 0.0, 1.0, "x"), ("a", 2, 0.0, 2.0, "y"), ("b", 1, 5.0, 6.0, "whole")]
+    gaps = spark.createDataFrame([(0.05,), (0.1,), (5.0,), (5.1,), (None,)], "duration double")
+    assert sorted(r.duration for r in marking.observed(gaps).collect()) == [0.1, 5.0]
+
+
+def test_verification_from_words(spark):
+    markers = spark.createDataFrame([("p", 1, "Verse 1", 1.0), ("p", 2, "Heading", 3.0), ("p", 3, "Verse 2", 4.0), ("p", 4, "Verse 9", 8.0)], "path string, cue_id long, label string, seconds double")
+    words = spark.createDataFrame([("p", 1, 1.1, 1.5, "in"), ("p", 2, 1.6, 2.0, "the"), ("p", 3, 2.1, 2.9, "beginning"), ("p", 4, 3.1, 3.5, "noise"), ("p", 5, 4.2, 5.0, "nothing")], "path string, pos long, start double, end double, word string")
+    asked = spark.createDataFrame([("p", 1, "In the beginning."), ("p", 2, "And the earth was void")], "path string, verse int, text string")
+    files = spark.createDataFrame([("p", 10.0)], "path string, seconds double")
+    compared = script.verify(markers, words, asked, files)
+    got = {r.verse: (r.transcribed, r.matches) for r in compared.collect()}
+    assert got == {1: ("in the beginning", True), 2: ("nothing", False)}
+    item = checks.script_items(compared).first()
+    assert (item.name, item.passed, item.value) == ("Script Match", False, "1 issues") and item.detail.startswith("verse 2 (")
+
+
+def test_details_are_bounded(spark):
+    files = spark.createDataFrame([("p", 2)], "path string, expected_verses int")
+    rows = spark.createDataFrame([("p", f"Vers {i}", float(i), i) for i in range(500)] + [("p", "Verse 1", 1.0, 900), ("p", "Verse 1", 2.0, 901), ("p", "Chapter Title", 0.0, 902)], "path string, label string, seconds double, cue_id int")
+    got = {r.name: r for r in checks.marker_items(files, rows, checks.Settings(), key="path").collect()}
+    assert got["Marker Spelling"].value == "500 bad" and got["Marker Spelling"].detail.count("@") == 20 and got["Marker Spelling"].detail.endswith("(+480 more)")
+    assert got["Chapter Title"].passed and got["Verses"].detail == "missing: 2; repeated: 1"
+    pairs = spark.createDataFrame([("p", f"n{i:02d}", "time", i) for i in range(4)] + [("p", f"s{i}", "sidecar_only", i) for i in range(7)] + [("p", "e", "embedded_only", None)], "path string, name string, status string, row long")
+    assert checks.sidecar_items(pairs).first().detail == "times differ: n00, n01, n02 (+1 more) | in sidecar only: s0, s1, s2, s3, s4 (+2 more) | in recording only: e"
+    items = spark.createDataFrame([("p", "Markers", True), ("p", "Marker Spelling", False), ("p", "Format", True)], "path string, name string, passed boolean")
+    r = checks.pivoted(items, key="path", names=["Format", "Markers", "Marker Spelling"], combine=checks.MARKER_COLUMN).first()
+    assert (r.Format, r.Markers) == ("PASS", "FAIL")
+
+
+def test_script_marks_and_headings(spark):
+    df = spark.createDataFrame([(1, "1 one\nChapter 2\n3.) three\nअध्याय ५\n4:} four")], "id int, raw string")
+    assert sorted((r.verse, r.text) for r in script.verses(df, key="id", text="raw").collect()) == [(1, "one"), (3, "three"), (4, "four")]
+    assert sorted((r.verse, r.text) for r in script.verses(df, key="id", text="raw", keep_headings=True).collect()) == [(1, "one Chapter 2"), (3, "three अध्याय ५"), (4, "four")]
+    found = script.verses(df, key="id", text="raw")
+    assert script.sequence_warnings(found) == ["verses missing: 2"] and script.sequence_warnings(found.where("verse > 3")) == ["verses begin at 4"]
+
+
+def test_format_is_told_short(spark):
+    df = spark.createDataFrame([("a", 48000, 24), ("b", 44100, 16), ("c", 11025, 8)], "path string, sample_rate int, bits int")
+    df = df.withColumns({c: F.lit(None).cast("double") for c in ("lufs", "true_peak", "head_silence", "tail_silence")})
+    got = {r.path: r.value for r in checks.measurement_items(df, checks.Settings(), key="path").where("name = 'Format'").collect()}
+    assert got == {"a": "48k/24-bit", "b": "44.1k/16-bit", "c": "11.025k/8-bit"}
+    assert checks.measurement_items(df, checks.Settings(check_format=False), key="path").where("name = 'Format'").count() == 0
 
 
 def test_state(spark):
