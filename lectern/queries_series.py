@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from .functions import numeric, text, timecode
 from .functions.similarity import greedy_similarity, text_similarity
-from .functions.text import verse_number
 from .operators import marking, script, series, state
 from .session import spread, table
 
@@ -214,32 +213,6 @@ def _gaps(spark: SparkSession, d: str) -> DataFrame:
     return v.select("path", F.col("end_s").alias("start"), F.lead("start_s").over(w).alias("end")).where("end > start").withColumn("duration", F.col("end") - F.col("start"))
 
 
-def _marked(spark: SparkSession, d: str, **more: object) -> DataFrame:
-    files = _recordings(spark, d)
-    out = marking.auto_mark(files, more.pop("script", None), key="path", verses="verses", duration="duration", rate="rate", pauses=_gaps(spark, d), **more)
-    return out.select("path", "ord", "label", F.floor(F.col("time_s") * 1000 + 0.25).cast("bigint").alias("time_ms"), "method")
-
-
-def auto_mark(spark: SparkSession, d: str) -> DataFrame:
-    """All three ways to place markers, with the corrections that were made to earlier recordings."""
-    words, asked = _verses_heard(spark, d)
-    made = table(spark, d, "csv_marker").where("path IS NOT NULL AND start_seconds IS NOT NULL").select(
-        "path", verse_number(F.col("name")).cast("bigint").alias("verse"), F.col("start_seconds").alias("expected"), (F.col("start_seconds") * 1.01 + 0.2).alias("corrected"), F.col("csv_id").alias("seq")
-    )
-    return _marked(spark, d, script=asked, words=words, corrections=made.where("verse IS NOT NULL"), profile=["path"])
-
-
-def pause_marks(spark: SparkSession, d: str) -> DataFrame:
-    """Markers without a recogniser: by pauses, or evenly where there are none."""
-    return _marked(spark, d)
-
-
-def pause_observations(spark: SparkSession, d: str) -> DataFrame:
-    """The pauses that are learned from, and their moving mean for each recording."""
-    seen = marking.observed(_gaps(spark, d))
-    return state.exponential_mean(seen, keys=["path"], value="duration", order="start").select("path", F.round("mean", 5).alias("mean"))
-
-
 def align_words(spark: SparkSession, d: str) -> DataFrame:
     """Expected verses aligned with the words of the transcripts."""
     words, asked = _verses_heard(spark, d)
@@ -260,7 +233,7 @@ QUERIES = {
     for f in (
         pause_islands, head_run, tail_run, top_pauses, segments_lead, midpoint_range_join, envelope, bucket_peaks, min_gap_push, thinning, clip_stats, clip_gain_clip, clip_head_silence, clip_envelope,
         time_parse, time_format, level_tally, loudness_parse, text_normalize, greedy_match, block_similarity, script_verification, verse_blocks, segment_words, learned_profiles, ema_state, running_means,
-        latest_per_key, damped_adjust, even_marks, auto_mark, pause_marks, pause_observations, align_words,
+        latest_per_key, damped_adjust, even_marks, align_words,
     )
 }
 SQL = {

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import glob
+import io
+import itertools
 import os
 import re
 import struct
@@ -129,6 +131,49 @@ def read(spark: SparkSession, paths: list[str], view: str = "header", **options:
     return reader.load(",".join(map(os.path.abspath, paths)))  # the source runs in another process, in its own folder
 
 
+def from_content(content: DataFrame, view: str = "header", **options: object) -> DataFrame:
+    """A view, as of read(), of containers in a binary column: (path, content), such as binaryFile gives for any file system
+    that Spark can list and read, object stores included."""
+    schema = SCHEMAS[view]
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    reader_options = {"view": view} | {k.lower(): str(v) for k, v in options.items()}
+
+    def run(batches):
+        import pandas as pd
+
+        reader = WavReader(reader_options)
+        for pdf in batches:
+            for path, raw in zip(pdf["path"], pdf["content"]):
+                try:
+                    stream = io.BytesIO(raw if raw is not None else b"")
+                    rows = getattr(reader, "_" + view)(path, stream, wavcodec.read_header(stream, len(stream.getbuffer())))
+                    while part := list(itertools.islice(rows, 10_000)):
+                        yield pd.DataFrame(part, columns=names).astype(object)
+                except (wavcodec.WavError, struct.error) as e:
+                    if view == "header":
+                        yield pd.DataFrame([(path, os.path.basename(path or ""), *[None] * 9, str(e))], columns=names).astype(object)
+
+    return content.select("path", "content").mapInPandas(run, schema)
+
+
+def to_content(clips: DataFrame, *, path: str, samples: str, bits: str, rate: str, cues: str) -> DataFrame:
+    """(path, content): a mono container of each row's samples (an array from -1 to 1) with its markers, an array of structs
+    (sample_offset, label)."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            made = []
+            for x, b, r, marks in zip(pdf[samples], pdf[bits], pdf[rate], pdf[cues]):
+                pcm = wavcodec.from_float(np.asarray(x if x is not None else [], np.float64)[None], int(b))
+                made.append(wavcodec.write(pcm, channels=1, sample_rate=int(r), bits=int(b), cues=[(int(c["sample_offset"]), c["label"]) for c in (marks if marks is not None else [])]))
+            yield pd.DataFrame({"path": pdf[path], "content": made})
+
+    return clips.select(path, samples, bits, rate, cues).mapInPandas(run, f"path {clips.schema[path].dataType.simpleString()}, content binary")
+
+
 def silence(peaks: DataFrame, *, threshold_dbfs: float = -60.0, expected_s: float = 2.0) -> DataFrame:
     """(path, head_silence, tail_silence) from the peaks view; each is capped at 1.5 times what is expected."""
     from ..operators.series import edge_run
