@@ -217,7 +217,7 @@ def map_values(values: DataFrame, entries: list[tuple[int, str, str | None]], *,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()).take(coded.indices)], ["__id", "stem"])
 
     stemmed = rows.mapInArrow(stems, rows.select("__id", F.lit("").alias("stem")).schema)
-    salts = 16
+    salts = max(16, values.sparkSession.sparkContext.defaultParallelism)  # a hot stem is spread over all cores
     distinct = stemmed.groupBy("stem").agg(F.count("*").alias("n"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,7 +147,7 @@ def letter_pairs(texts: DataFrame, columns: list[str]) -> list[tuple[int, str, s
     first, with a partial count on each task; the pairs are limited by the alphabets, so the result is small.
     """
     words = texts.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("x")).where("x IS NOT NULL")
-    words = words.select(F.explode(F.split("x", r"(?U)[^\p{L}]+")).alias("w")).where("length(w) BETWEEN 2 AND 60").groupBy("w").agg(F.count("*").alias("n"))
+    words = words.select(F.explode(F.split("x", r"(?U)[^\p{L}]+")).alias("w")).where("length(w) >= 2").groupBy("w").agg(F.count("*").alias("n"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, str, str], int] = {}

@@ -89,13 +89,14 @@ class LearnedIndex:
         return np.where(segment < 0, 0, found)
 
 
-def nearest(group: np.ndarray, time: np.ndarray, ids: np.ndarray, probe_group: np.ndarray, probe_time: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+def nearest(index: LearnedIndex, ids: np.ndarray, probe_group: np.ndarray, probe_time: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """For each probe the id of the nearest row of its group, and whether there is one within the tolerance.
 
-    Rows are sorted by (group, time). Of equally near rows the lowest id is taken. Beside the two neighbours of the
+    The index holds rows sorted by (group, time). Of equally near rows the lowest id is taken. Beside the two neighbours of the
     probe the next ones are compared too, since two different times can lie equally far away after rounding.
     """
-    where = LearnedIndex(group, time).position(probe_group, probe_time)
+    group, time = index.group, index.time
+    where = index.position(probe_group, probe_time)
     best, best_id = np.full(len(where), np.inf), np.full(len(where), np.iinfo(np.int64).max)
     for step in (-2, -1, 0, 1):
         at = where + step
@@ -124,14 +125,15 @@ def match_nearest(
     tasks. Right rows of the same entity and time are reduced to the lowest id before the shuffle. A shard with more than
     `hot_rows` left rows (there are at most rows / hot_rows of those, so they can be broadcast) is divided into slices,
     each of which gets the shard's right rows. In a task rows arrive sorted by shard, right rows first, so only the
-    right rows of one shard and one batch are in memory at a time. Entities are compared by 128 bits of hash.
+    right rows of one shard and one batch are in memory at a time, and a shard that goes on over several batches keeps its
+    index. Entities are compared by 128 bits of hash.
     """
     wide = float(max(shard_seconds, 2 * tolerance))
 
     def side(df: DataFrame, key: str, entity: list[Column], time: Column) -> DataFrame:
         rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), time.cast("double").alias("t"), *[e.alias(f"e{i}") for i, e in enumerate(entity)])
         names = [f"e{i}" for i in range(len(entity))]
-        usable = F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < 1e15) & F.col("id").isNotNull()
+        usable = F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < float("inf")) & F.col("id").isNotNull()
         for name in names:
             usable = usable & F.col(name).isNotNull()
         return rows.where(usable).select("id", "t", F.xxhash64(*names).alias("h1"), F.xxhash64(F.lit("second"), *names).alias("h2"))
@@ -151,20 +153,36 @@ def match_nearest(
     both = both.repartition(*key, "slice").sortWithinPartitions(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64) for _ in range(5)] + [np.zeros(0, np.float64), np.zeros(0, np.int64)]
+        none = np.zeros(0, np.int64)
+        open_key: tuple | None = None  # the shard that may go on, its right rows, and their index once it is needed
+        open_time, open_ids, index = np.zeros(0), none, None
+
+        def answer(idx: LearnedIndex, right_ids: np.ndarray, group: np.ndarray, time: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            found, near = nearest(idx, right_ids, group, time, tolerance)
+            return pa.RecordBatch.from_arrays([pa.array(ids[near]), pa.array(found[near])], [left_id, right_id])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            h1, h2, part, piece, kind, time, ids = (np.concatenate(x) for x in zip(kept, new))
-            change = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (part[1:] != part[:-1]) | (piece[1:] != piece[:-1])]
-            group = np.cumsum(change)
-            is_right = kind == 0
+            h1, h2, part, piece, kind, time, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            change = np.r_[False, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (part[1:] != part[:-1]) | (piece[1:] != piece[:-1])]
+            group, is_right = np.cumsum(change), kind == 0
+            head = 0
+            if open_key == (h1[0], h2[0], part[0], piece[0]):  # the first rows go on with the open shard
+                head = int(np.searchsorted(group, 0, "right"))
+                more = is_right[:head]
+                if more.any():
+                    open_time, open_ids, index = np.r_[open_time, time[:head][more]], np.r_[open_ids, ids[:head][more]], None
+                if not more.all():
+                    index = index or LearnedIndex(np.zeros(len(open_time), np.int64), open_time)
+                    yield answer(index, open_ids, group[:head][~more], time[:head][~more], ids[:head][~more])
+            if head == len(group):
+                continue
+            group, is_right, time, ids = group[head:], is_right[head:], time[head:], ids[head:]
             a, b = np.flatnonzero(is_right), np.flatnonzero(~is_right)
             if len(b):
-                found, near = nearest(group[a], time[a], ids[a], group[b], time[b], tolerance)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[b][near]), pa.array(found[near])], [left_id, right_id])
+                yield answer(LearnedIndex(group[a], time[a]), ids[a], group[b], time[b], ids[b])
             last = a[group[a] == group[-1]]
-            kept = [x[last] for x in (h1, h2, part, piece, kind, time, ids)]
+            open_key, open_time, open_ids, index = (h1[-1], h2[-1], part[-1], piece[-1]), time[last], ids[last], None
 
     return both.mapInArrow(run, f"`{left_id}` long, `{right_id}` long")

@@ -27,3 +27,23 @@ def test_rows_nulls_repeats_and_empty(spark):
     assert got == [(1, 1), (3, 0), (4, 2), (5, 0), (5, 0), (6, 0)]
     assert map_values(df.where("false"), BOOKS, value="book", row_id="id", rules=Rules()).collect() == []
     assert all(r.entry == 0 for r in map_values(df, [], value="book", row_id="id", rules=Rules()).collect())
+
+
+def test_index_scores_equal_brute_force():
+    """The inverted index gives the cosine of every spelling with a shared n-gram, as comparing them one by one does."""
+    import math
+    import random
+
+    from lectern.llm.canon import grams
+
+    rng = random.Random(2)
+    index = Index(BOOKS, Rules(codes=True))
+    for _ in range(300):
+        text = "".join(rng.choice("corvanthkelmsg1 ") for _ in range(rng.randint(1, 14))).strip() or "c"
+        weigh = lambda g: {p: w * index.rarity.get(p, index.unseen) for p, w in g.items()}
+        a, got = weigh(grams(text)), index.cosines(text)
+        for i, (_, _, body, _) in enumerate(index.spellings):
+            b = weigh(grams(body))
+            dot = sum(w * b[p] for p, w in a.items() if p in b)
+            want = dot / (math.sqrt(sum(w * w for w in a.values())) * math.sqrt(sum(w * w for w in b.values())))
+            assert math.isclose(got.get(i, 0.0), want, abs_tol=1e-9)

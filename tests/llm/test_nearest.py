@@ -39,6 +39,11 @@ def test_equals_brute_force_also_with_salted_shards_and_clashing_columns(spark):
     a, b = spark.createDataFrame(left, "i long, e string, t double, shard long"), spark.createDataFrame(right, "j long, e string, t double, shard string")
     assert _match(a, b) == sorted(want)
     assert _match(a, b, hot_rows=20, shard_seconds=16.0) == sorted(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # shards go on over many batches
+    try:
+        assert _match(a, b) == sorted(want) == _match(a, b, shard_seconds=10_000.0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_empty_tables(spark):
@@ -52,3 +57,9 @@ def test_edges_of_shards_and_ties(spark):
     a = spark.createDataFrame([(1, "a", 256.0), (2, "a", 255.6), (3, "a", -0.2)], "i long, e string, t double")
     b = spark.createDataFrame([(7, "a", 255.75), (8, "a", 256.25), (6, "a", 0.25)], "j long, e string, t double")
     assert _match(a, b) == [(1, 7), (2, 7), (3, 6)]
+
+
+def test_any_finite_time(spark):
+    a = spark.createDataFrame([(1, "a", 1e18), (2, "a", -1e300), (3, "a", float("inf")), (4, "a", 5.0)], "i long, e string, t double")
+    b = spark.createDataFrame([(7, "a", 1e18), (8, "a", -1e300), (9, "a", float("-inf")), (6, "a", 5.25)], "j long, e string, t double")
+    assert _match(a, b) == [(1, 7), (2, 8), (4, 6)]
