@@ -211,24 +211,31 @@ def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", va
         "hits array<struct<keys:array<string>,n:bigint,closed:bigint,pieces:array<struct<s:string,n:bigint>>>>, words array<struct<s:string,n:bigint>>, share double"
     )
     seen = rows.mapInArrow(scan, schema).checkpoint()
-    found = seen.where("kind <> ''").select("key", "kind")
-    found = found.unionByName(_filler(seen, word_share)).unionByName(_pages(rows, seen, template_share, key_type))
+    found = seen.where("kind <> ''").select("key", "kind").unionByName(_filler(seen, word_share))
     places = seen.select("key", F.explode("places").alias("p")).select("key", "p.*")
-    slot = places.where("NOT spoken").select("key", F.lit("slot").alias("kind"))
-    words = frozenset(r.word for r in places.where("spoken").select("word").distinct().collect())
-    if words:
-
-        def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = automaton(sorted(words))
-            for batch in batches:
-                counts = Counter(f for t in batch.column(0).to_pylist() for f in values(t, words, known))
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["frame", "filled"])
-
-        unfilled = places.where("spoken").groupBy("frame").agg(F.count("*").alias("unfilled"))
-        filled = rows.select("text").mapInArrow(align, "frame string, filled long").join(unfilled.select("frame"), "frame", "left_semi").groupBy("frame").agg(F.sum("filled").alias("filled"))
-        template = unfilled.join(filled, "frame").where(F.col("filled") >= value_share * (F.col("filled") + F.col("unfilled"))).select("frame")
-        slot = slot.unionByName(places.where("spoken").join(template, "frame", "left_semi").select("key", F.lit("slot").alias("kind")))
-    return found.unionByName(slot).groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumnRenamed("key", key)
+    spoken = places.where("spoken")
+    words = frozenset(r.word for r in spoken.select("word").distinct().collect())
+    templates = _templates(seen, template_share)
+    known = sorted(words)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One more reading for both: texts covered by templates, and the frames that hold values."""
+        held = automaton(known)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            got = [(i, c) for i, t in enumerate(texts) if (c := page_cover(plain(t), templates))]
+            counts = Counter(f for t in texts for f in values(t, words, held)) if words else Counter()
+            n = len(counts)
+            keys = pa.concat_arrays([batch.column(0).take(pa.array([i for i, _ in got], pa.int64())), pa.nulls(n, batch.column(0).type)])
+            columns = [pa.array([c[0] for _, c in got] + [None] * n, pa.bool_()), pa.array([c[1] for _, c in got] + [None] * n, pa.list_(pa.string())), pa.array([None] * len(got) + list(counts), pa.string()), pa.array([None] * len(got) + list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([keys, *columns], ["key", "seed", "used", "frame", "filled"])
+
+    after = rows.mapInArrow(second, f"key {key_type}, seed boolean, used array<string>, frame string, filled long").checkpoint()
+    unfilled = spoken.groupBy("frame").agg(F.count("*").alias("unfilled"))
+    filled = after.where("frame IS NOT NULL").join(unfilled.select("frame"), "frame", "left_semi").groupBy("frame").agg(F.sum("filled").alias("filled"))
+    template = unfilled.join(filled, "frame").where(F.col("filled") >= value_share * (F.col("filled") + F.col("unfilled"))).select("frame")
+    slot = places.where("NOT spoken").select("key", F.lit("slot").alias("kind")).unionByName(spoken.join(template, "frame", "left_semi").select("key", F.lit("slot").alias("kind")))
+    return found.unionByName(_pages(after.where("frame IS NULL"))).unionByName(slot).groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumnRenamed("key", key)
 
 
 def _filler(seen: DataFrame, word_share: float, dense: float = 0.15) -> DataFrame:
@@ -243,8 +250,8 @@ def _filler(seen: DataFrame, word_share: float, dense: float = 0.15) -> DataFram
     return dummies.where(filler).select("key", F.lit("filler").alias("kind"))
 
 
-def _pages(rows: DataFrame, seen: DataFrame, share: float, key_type: str, rounds: int = 2) -> DataFrame:
-    """(key, kind) of the error pages and notices among all texts."""
+def _templates(seen: DataFrame, share: float, rounds: int = 2) -> PageTemplates:
+    """The skeletons that recur in texts with seeds, and which of them belong to pages."""
     hits = seen.where("hits IS NOT NULL").select("hits")
     least = max(3, math.ceil(share * hits.count()))
     keys = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.concat(h["keys"], F.transform(h["pieces"], lambda p: p["s"])), lambda k: F.struct(k.alias("k"), (h["closed"] > 0).alias("seeded"))))))
@@ -256,15 +263,11 @@ def _pages(rows: DataFrame, seen: DataFrame, share: float, key_type: str, rounds
     kinds = [{r.k for r in counted if (r.seeded >= 0.5) == kind} for kind in (False, True)]
     for turn in range(2 * rounds if counts else 0):
         rates |= {k: v for k, v in _rates(hits, counts, rates).items() if k in kinds[turn % 2]}
-    templates = PageTemplates({k: (counts[k], rates[k] >= 0.5) for k in counts})
+    return PageTemplates({k: (counts[k], rates[k] >= 0.5) for k in counts})
 
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(i, c) for i, t in enumerate(batch.column(1).to_pylist()) if (c := page_cover(plain(t), templates))]
-            at = pa.array([i for i, _ in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([c[0] for _, c in got], pa.bool_()), pa.array([c[1] for _, c in got], pa.list_(pa.string()))], ["key", "seed", "used"])
 
-    covered = rows.mapInArrow(cover, f"key {key_type}, seed boolean, used array<string>").checkpoint()
+def _pages(covered: DataFrame) -> DataFrame:
+    """(key, kind) of the error pages and notices among the covered texts (key, seed, used)."""
     by_template = covered.select("seed", F.explode(F.array_distinct("used")).alias("k")).groupBy("k").agg(F.avg(F.col("seed").cast("int")).alias("rate"))
     sure = [r.k for r in by_template.where("rate >= 0.1").collect()]  # templates only, so bounded like these
     alone = F.forall("used", lambda k: k.isin(sure)) & F.exists("used", lambda k: F.size(F.split(k, " ")) >= 3) if sure else F.lit(False)
