@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .residue_pages import LOREM, SEGMENT, PageTemplates, automaton, dummy_words, isolation, page_cover, parts, plain, seeded, whole
+from .residue_pages import LOREM, SEGMENT, PageTemplates, automaton, dummy_share, isolation, page_cover, parts, plain, seeded, whole
 
 #: Forms in which template languages, mail merges and authors write a value that is still to come.
 PLACEHOLDER = re.compile(
@@ -198,10 +198,11 @@ def find_residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", va
             out: list[tuple] = []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 low = plain(t)
-                kind, dummy, hit = whole(low), dummy_words(low), seeded(low)
+                kind, counts = whole(low)
+                hit, dummy = seeded(low), dummy_share(counts)
                 places = slots(t) + suspects(t)
-                if kind or dummy or hit or places:
-                    out.append((i, kind, [dict(zip(("frame", "filler", "spoken", "word"), p)) for p in places], parts(hit) if hit else None, [{"s": w, "n": n} for w, n in dummy[0].items()] if dummy else None, dummy[1] if dummy else None))
+                if kind or dummy >= 0.05 or hit or places:
+                    out.append((i, kind, [dict(zip(("frame", "filler", "spoken", "word"), p)) for p in places], parts(hit) if hit else None, [{"s": w, "n": n} for w, n in counts.items()] if dummy >= 0.05 else None, dummy if dummy >= 0.05 else None))
             at, kinds, places, hits, words, shares = zip(*out) if out else ((),) * 6
             columns = [pa.array(kinds, pa.string()), pa.array(places, place), pa.array(hits, segment), pa.array(words, pa.list_(piece)), pa.array(shares, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["key", "kind", "places", "hits", "words", "share"])

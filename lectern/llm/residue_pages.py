@@ -92,7 +92,7 @@ def automaton(words: list[str]) -> ahocorasick.Automaton:
 
 
 HINT = automaton(HINTS)
-DUMMY = automaton([w for w in LOREM if len(w) > 3])
+LONG_DUMMY = frozenset(w for w in LOREM if len(w) > 3)
 
 
 def plain(text: str) -> str:
@@ -277,21 +277,17 @@ def page_cover(text: str, templates: PageTemplates, share: float = 0.1) -> tuple
     return (seed, used) if (seed or used) and open_ <= share * letters(text) else None
 
 
-def dummy_words(text: str, least: float = 0.05) -> tuple[Counter[str], float] | None:
-    """The counted words of a text and the share of them that are long words of the standard passage, if it is `least`."""
-    if next(DUMMY.iter(text), None) is None:
-        return None
-    counts = Counter(WORD.findall(text))
-    share = sum(n for w, n in counts.items() if len(w) > 3 and w in LOREM) / max(counts.total(), 1)
-    return (counts, share) if share >= least else None
+def dummy_share(counts: Counter[str]) -> float:
+    """The share of the long words of the standard passage in the counted words of a text."""
+    return sum(counts[w] for w in LONG_DUMMY & counts.keys()) / max(counts.total(), 1)
 
 
-def is_filler(text: str) -> tuple[bool, float]:
+def is_filler(text: str) -> tuple[bool, float, Counter[str]]:
     """Whether a whole text is filler (dummy words of the standard passage, keys of one row, one word or one line
-    repeated), and how many letters stub phrases can cover in it at most, by its words.
+    repeated), how many letters stub phrases can cover in it at most, by its words, and these, counted.
 
     Words are counted over the whole text, in one pass; reading stops early only where what is left, taken as words of one
-    letter, couldn't bring any count to its limit. What stands beside the filler, like a heading, counts against it.
+    letter, couldn't bring any count to its limit, and none so far is of the standard passage. What stands beside the filler, like a heading, counts against it.
     """
     counts: Counter[str] = Counter()
     n = latin = long = keys = at = 0
@@ -308,24 +304,24 @@ def is_filler(text: str) -> tuple[bool, float]:
         latin, long = sum(counts[w] for w in dummy), sum(counts[w] for w in dummy if len(w) > 3)
         keys = sum(counts[w] for w in counts if w[0] in KEYS and not w.strip(KEYS))
         left = (len(text) - at + 1) // 2
-        if left and latin + left < 0.7 * (n + left) and keys + left < 0.8 * (n + left) and len(counts) > 8 + 0.2 * (n + left):
-            return False, math.inf
+        if left and not long and latin + left < 0.7 * (n + left) and keys + left < 0.8 * (n + left) and len(counts) > 8 + 0.2 * (n + left):
+            return False, math.inf, counts
     stub = sum(counts[w] for w in STUB_WORDS & counts.keys())
     stub *= 44 + 2 * max(map(len, counts)) if stub else 0  # the longest phrase, and two words that may be any
     if n < 3:
-        return False, stub
+        return False, stub, counts
     if n >= 4 and ((len(counts) > 3 and latin >= 0.7 * n and long >= 0.3 * n) or keys >= 0.8 * n):
-        return True, stub
+        return True, stub, counts
     if len(counts) * 3 > n or len(counts) > 8 + 0.2 * n:
-        return False, stub
+        return False, stub, counts
     if n >= 4 and max(counts.values()) >= 0.8 * n:
-        return True, stub
+        return True, stub, counts
     pieces = Counter(re.sub(r"\d+", "9", x).strip() for x in re.split(r"\n|;|[.!?](?:\s|$)", text) if letters(x))
     if len(counts) <= 8:
-        return pieces.total() >= 3 and len(pieces) * 3 <= pieces.total(), stub
+        return pieces.total() >= 3 and len(pieces) * 3 <= pieces.total(), stub, counts
     # a repeated line of few words under other text, which is a fifth of the words at most
     often = {x: WORD.findall(x) for x, k in pieces.items() if k >= 3}
-    return sum(pieces[x] * len(w) for x, w in often.items()) >= 0.8 * n and len({w for x in often.values() for w in x}) <= 8, stub
+    return sum(pieces[x] * len(w) for x, w in often.items()) >= 0.8 * n and len({w for x in often.values() for w in x}) <= 8, stub, counts
 
 
 def is_stub(text: str, total: int) -> bool:
@@ -339,12 +335,13 @@ def is_stub(text: str, total: int) -> bool:
     return others + letters(flat[at:]) <= 0.1 * total
 
 
-def whole(text: str) -> str:
-    """'filler', 'stub' or '' for a whole text in plain form."""
-    filler, stub_letters = is_filler(text)
+def whole(text: str) -> tuple[str, Counter[str]]:
+    """'filler', 'stub' or '' for a whole text in plain form, and its counted words: all of them, unless none of the
+    standard passage was among the first ones of a long text that can't be filler."""
+    filler, stub_letters, counts = is_filler(text)
     if filler:
-        return "filler"
-    total = letters(text) if stub_letters * 1.2 + 1 >= 0.45 * len(text) or len(text) < 200 else len(text)
+        return "filler", counts
+    total = letters(text) if stub_letters * 1.2 + 1 >= 0.45 * len(text) or not counts else len(text)
     if total == 0:
-        return "stub"
-    return "stub" if stub_letters >= 0.9 * total and is_stub(text, total) else ""
+        return "stub", counts
+    return "stub" if stub_letters >= 0.9 * total and is_stub(text, total) else "", counts

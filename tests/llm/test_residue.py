@@ -1,5 +1,11 @@
+from lectern.llm import residue_pages
 from lectern.llm.residue import find_residue, slots
-from lectern.llm.residue_pages import PageTemplates, page_cover, plain, tokens, whole
+from lectern.llm.residue_pages import PageTemplates, page_cover, plain, tokens
+
+
+def whole(text):
+    return residue_pages.whole(text)[0]
+
 
 GOOD = "The reader was tired before lunch, so only 12 verses were split. Nothing else to report."
 PROSE = [GOOD, "Cue 404 was not found on the first pass, but Fenwick located it.", "Access was denied to the booth until Maruk found the key.", "An internal server error stopped the upload, yet the copy is complete.", "We used lorem ipsum on the old poster, Corwen said, and had to print new ones.", "The script is required before the session starts."]
