@@ -90,12 +90,12 @@ def choose(candidates: DataFrame, files: DataFrame, *, key: str, verses: str) ->
     Words, if they place at least half of the verses; else pauses, if they place more than words do, noted as 'combined'
     where words placed some; else what words placed; even steps only where neither places any.
     """
-    counted = candidates.groupBy(key, "method").agg(F.count("*").alias("n"))
-    of = lambda m: F.coalesce(F.sum(F.when(F.col("method") == m, F.col("n"))), F.lit(0))
-    best = counted.groupBy(key).agg(of("words").alias("w"), of("pause").alias("p")).join(files.select(key, F.col(verses).alias("__v")), key)
-    use = F.when((F.col("w") > 0) & (F.col("w") >= 0.5 * F.col("__v")), "words").when(F.col("p") > F.col("w"), "pause").when(F.col("w") > 0, "words").otherwise("even")
-    best = best.select(key, use.alias("method"), (F.col("w") > 0).alias("__both"))
-    return candidates.join(best, [key, "method"]).withColumn("method", F.when((F.col("method") == "pause") & F.col("__both"), "combined").otherwise(F.col("method"))).drop("__both")
+    per = Window.partitionBy(key)
+    of = lambda m: F.count_if(F.col("method") == m).over(per)
+    rows = candidates.withColumns({"__w": of("words"), "__p": of("pause")}).join(files.select(key, F.col(verses).alias("__v")), key)
+    use = F.when((F.col("__w") > 0) & (F.col("__w") >= 0.5 * F.col("__v")), "words").when(F.col("__p") > F.col("__w"), "pause").when(F.col("__w") > 0, "words").otherwise("even")
+    rows = rows.where(F.col("method") == use)
+    return rows.withColumn("method", F.when((F.col("method") == "pause") & (F.col("__w") > 0), "combined").otherwise(F.col("method"))).drop("__w", "__p", "__v")
 
 
 def observed(pauses: DataFrame, *, duration: str = "duration", least_s: float = 0.1, most_s: float = 5.0) -> DataFrame:
@@ -121,9 +121,12 @@ def timeline(heard: DataFrame, *, key: str) -> DataFrame:
 def finish(placed: DataFrame, files: DataFrame, *, key: str, rate: str, duration: str, gap_s: float = 0.1) -> DataFrame:
     """(key, ord, label, sample_offset, time_s, confidence, method): a title a second before the first verse, verses at
     least a gap apart and within the recording."""
-    title = placed.groupBy(key).agg(F.min("time_s").alias("t"))
-    title = title.select(key, F.lit("Chapter Title").alias("label"), F.lit(0).cast("bigint").alias("verse"), F.greatest(F.col("t") - 1.0, F.lit(0.0)).alias("time_s"), F.lit(0.9).alias("confidence"), F.lit("auto").alias("method"))
-    every = title.unionByName(placed.select(key, F.format_string("Verse %d", "verse").alias("label"), "verse", "time_s", "confidence", "method"))
+    each = lambda label, verse, time, confidence, method: F.struct(label.alias("label"), verse.alias("verse"), time.alias("time_s"), confidence.alias("confidence"), method.alias("method"))
+    c = F.col
+    title = each(F.lit("Chapter Title"), F.lit(0).cast("bigint"), F.greatest(c("time_s") - 1.0, F.lit(0.0)), F.lit(0.9).cast("double"), F.lit("auto"))
+    own = each(F.format_string("Verse %d", c("verse")), c("verse").cast("bigint"), c("time_s"), c("confidence").cast("double"), c("method"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("time_s", "verse")) == 1
+    every = placed.withColumn("__first", first).select(key, F.explode(F.when(c("__first"), F.array(title, own)).otherwise(F.array(own))).alias("x")).select(key, "x.*")
     every = every.join(files.select(key, F.col(rate).alias("__rate"), F.col(duration).alias("__duration")), key)
     every = every.withColumn("ms", F.floor(F.col("time_s") * 1000 + 1e-6).cast("bigint"))
     apart = push_apart(every, keys=[key], position="ms", tie="verse", gap=int(gap_s * 1000))

@@ -64,17 +64,16 @@ def compare_texts(pairs: DataFrame, *, expected: str, transcribed: str, threshol
     return pairs.withColumn("measured", measured).withColumn("matches", F.col("measured") >= threshold)
 
 
-def verification_summary(compared: DataFrame, *, keys: list[str], verse: str, expected: str, told: int | None = None) -> DataFrame:
-    """Per recording: verses checked, matching, mean similarity, whether all match, and the verses that don't.
+def verification_summary(compared: DataFrame, *, keys: list[str], verse: str, expected: str, told: int = 5) -> DataFrame:
+    """Per recording: verses checked, matching, mean similarity, whether all match, and the first `told` that don't.
 
-    With `told`, only the first so many of these are listed, and the others are cut off before the shuffle.
+    Texts are compared once, before the shuffle; a recording's rows are ranked in a window, which spills, so no list grows
+    with a recording.
     """
-    counts = compared.groupBy(*keys).agg(F.count("*").alias("checked"), F.count_if("matches").alias("matching"), F.avg("measured").alias("mean_similarity"))
-    wrong = compared.where("NOT matches").select(*keys, F.col(verse).alias("verse"), preview(F.col(expected)).alias("text"), "measured")
-    if told is not None:
-        wrong = wrong.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("verse", "text"))).where(F.col("__n") <= told)
-    issues = wrong.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("verse", "text", "measured"))).alias("issues"))
-    out = counts.join(issues, keys, "left").withColumn("issues", F.coalesce("issues", F.array().cast(issues.schema["issues"].dataType)))
+    rows = compared.select(*keys, F.col(verse).alias("__v"), preview(F.col(expected)).alias("__t"), "measured", "matches")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("matches", "__v", "__t"))
+    issue = F.when(~F.col("matches") & (F.col("__n") <= told), F.struct(F.col("__v").alias("verse"), F.col("__t").alias("text"), "measured"))
+    out = rows.withColumn("__n", rank).groupBy(*keys).agg(F.count("*").alias("checked"), F.count_if("matches").alias("matching"), F.avg("measured").alias("mean_similarity"), F.array_sort(F.collect_list(issue)).alias("issues"))
     return out.withColumn("ok", (F.col("checked") > 0) & (F.col("checked") == F.col("matching")))
 
 

@@ -138,7 +138,7 @@ def block_similarity(spark: SparkSession, d: str) -> DataFrame:
 def script_verification(spark: SparkSession, d: str) -> DataFrame:
     v = spread(table(spark, d, "verse_comparison").where("path IS NOT NULL").select("path", "verse_number", "expected_text", "transcribed_text"))
     out = script.verification_summary(script.compare_texts(v, expected="expected_text", transcribed="transcribed_text"), keys=["path"], verse="verse_number", expected="expected_text")
-    return out.select("path", "checked", "matching", F.round("mean_similarity", 6).alias("mean_similarity"), "ok", F.size("issues").cast("bigint").alias("issues"))
+    return out.select("path", "checked", "matching", F.round("mean_similarity", 6).alias("mean_similarity"), "ok", (F.col("checked") - F.col("matching")).alias("issues"))
 
 
 def verse_blocks(spark: SparkSession, d: str) -> DataFrame:
