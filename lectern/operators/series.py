@@ -23,22 +23,56 @@ def envelope(samples: DataFrame, *, keys: list[str], position: str, value: str,
     return samples.withColumn("bucket", bucket).where(F.col("bucket") < columns).groupBy(*keys, "bucket").agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def edge_run(buckets: DataFrame, *, keys: list[str], order: list[Column], peak: str, threshold: float, width: str, most: float | None = None) -> DataFrame:
-    """Seconds of silence before the first loud bucket in the given order (descending for the end), capped at `most`."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    loud = F.sum((F.col(peak) > threshold).cast("int")).over(w)
-    run = F.sum(F.when(F.col("__loud") == 0, F.col(width)).otherwise(F.lit(0.0)))
-    out = buckets.withColumn("__loud", loud).groupBy(*keys).agg(run.alias("silence_s"))
+def edge_run(buckets: DataFrame, *, keys: list[str], order: list[str], peak: str, threshold: float, width: str, most: float | None = None, from_end: bool = False) -> DataFrame:
+    """Seconds of silence before the first loud bucket in order, or with `from_end` behind the last one, capped at `most`.
+
+    Two aggregates with partial results, no window: where a group has its first loud bucket, and what lies before it.
+    """
+    place = F.struct(*[F.col(c) for c in order])
+    edge = F.max if from_end else F.min
+    first = buckets.groupBy(*keys).agg(edge(F.when(F.col(peak) > threshold, place)).alias("__loud"))
+    outside = F.col("__loud").isNull() | ((place > F.col("__loud")) if from_end else (place < F.col("__loud")))
+    rows = _with(buckets.select(*keys, *dict.fromkeys([*order, width])), first, keys)
+    out = rows.groupBy(*keys).agg(F.sum(F.when(outside, F.col(width)).otherwise(F.lit(0.0))).alias("silence_s"))
     return out if most is None else out.withColumn("silence_s", F.least("silence_s", F.lit(float(most))))
 
 
-def islands(rows: DataFrame, *, keys: list[str], order: list[Column], inside: Column, start: str, end: str) -> DataFrame:
-    """Maximal runs of consecutive rows for which `inside` holds: first start, last end, and the number of rows."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("__in", F.coalesce(inside, F.lit(False))).withColumn("__island", F.sum(F.when(F.col("__in"), 0).otherwise(1)).over(w))
+def sharded(rows: DataFrame, *, keys: list[str], position: Column, hot_rows: int | None) -> DataFrame:
+    """rows with __shard: 0, or for groups of more than `hot_rows` rows the stretch of positions, of about that many rows,
+    in which a row lies. There are at most rows / hot_rows such groups, so what is broadcast is small. None splits none."""
+    if hot_rows is None:
+        return rows.withColumn("__shard", F.lit(0).cast("bigint"))
+    placed = rows.withColumn("__at", position.cast("double"))
+    stats = placed.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+    hot = stats.where((F.col("__n") > hot_rows) & (F.col("__hi") > F.col("__lo")))
+    hot = hot.select(*keys, "__lo", ((F.col("__hi") - F.col("__lo")) / F.ceil(F.col("__n") / hot_rows)).alias("__w"))
+    shard = F.coalesce(F.floor((F.col("__at") - F.col("__lo")) / F.col("__w")), F.lit(0)).cast("bigint")
+    return placed.join(F.broadcast(hot), keys, "left").withColumn("__shard", shard).drop("__at", "__lo", "__w")
+
+
+def islands(rows: DataFrame, *, keys: list[str], order: list[Column], inside: Column, start: str, end: str, hot_rows: int | None = None) -> DataFrame:
+    """Maximal runs of consecutive rows for which `inside` holds: first start, last end, and the number of rows.
+
+    With `hot_rows`, larger groups are cut into stretches by their first order column; the count of breaks goes on from one
+    stretch to the next, so runs over a cut stay whole.
+    """
+    cut = sharded(rows, keys=keys, position=order[0], hot_rows=hot_rows)
+    w = Window.partitionBy(*keys, "__shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = cut.withColumn("__in", F.coalesce(inside, F.lit(False))).withColumn("__island", F.sum(F.when(F.col("__in"), 0).otherwise(1)).over(w))
+    if hot_rows is not None:
+        before = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+        sums = marked.groupBy(*keys, "__shard").agg(F.max("__island").alias("__b")).withColumn("__b", F.coalesce(F.sum("__b").over(before), F.lit(0)))
+        marked = _with(marked, sums, [*keys, "__shard"]).withColumn("__island", F.col("__island") + F.col("__b"))
     return marked.where("__in").groupBy(*keys, "__island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("__island")
 
 
+def _with(rows: DataFrame, sums: DataFrame, on: list[str]) -> DataFrame:
+    """rows with what was summed up for their group; null keys are groups as well."""
+    other = sums.select(*[F.col(c).alias(f"__r_{i}") for i, c in enumerate(on)], *[c for c in sums.columns if c not in on])
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{i}")) for i, c in enumerate(on)]
+    return rows.join(other, same).drop(*[f"__r_{i}" for i in range(len(on))])
+
+
 def pauses(buckets: DataFrame, *, keys: list[str], start: str, width: str, peak: str, threshold: float = 0.01, least: float = 0.3) -> DataFrame:
     """Silent stretches of at least `least` seconds, one at the end included."""
     rows = buckets.withColumn("__end", F.col(start) + F.col(width))
@@ -71,12 +105,23 @@ def points_in_segments(points: DataFrame, parts: DataFrame, *, keys: list[str],
     return inside.where(F.col(at).between(F.col(start), F.col(end))).drop("__cell")
 
 
-def push_apart(rows: DataFrame, *, keys: list[str], position: str, tie: str, gap: int) -> DataFrame:
-    """Positions moved forward as little as needed to lie `gap` apart: the running maximum of position - i gap, plus i gap."""
-    w = Window.partitionBy(*keys).orderBy(F.col(position), F.col(tie))
-    numbered = rows.withColumn("__i", F.row_number().over(w) - 1)
-    reach = F.max(F.col(position) - F.col("__i") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("placed", reach + F.col("__i") * gap).drop("__i")
+def push_apart(rows: DataFrame, *, keys: list[str], position: str, tie: str, gap: int, hot_rows: int | None = None) -> DataFrame:
+    """Positions moved forward as little as needed to lie `gap` apart: the running maximum of position - i gap, plus i gap.
+
+    With `hot_rows`, larger groups are cut into stretches; the count and the maximum go on from one to the next.
+    """
+    cut = sharded(rows, keys=keys, position=F.col(position), hot_rows=hot_rows)
+    w = Window.partitionBy(*keys, "__shard").orderBy(F.col(position), F.col(tie))
+    numbered = cut.withColumn("__i", F.row_number().over(w) - 1)
+    numbered = numbered.withColumn("__reach", F.max(F.col(position) - F.col("__i") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if hot_rows is not None:
+        before = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+        sums = numbered.groupBy(*keys, "__shard").agg(F.count("*").alias("__c"), F.max("__reach").alias("__m"))
+        sums = sums.withColumn("__c", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+        sums = sums.withColumn("__m", F.max(F.col("__m") - F.col("__c") * gap).over(before))
+        numbered = _with(numbered, sums, [*keys, "__shard"])
+        numbered = numbered.withColumns({"__reach": F.greatest(F.col("__reach") - F.col("__c") * gap, F.col("__m")), "__i": F.col("__i") + F.col("__c")}).drop("__c", "__m")
+    return numbered.withColumn("placed", F.col("__reach") + F.col("__i") * gap).drop("__i", "__reach", "__shard")
 
 
 def thin(rows: DataFrame, *, keys: list[str], position: str, gap: float, always: Column | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from .operators import marking, script, series, state
 from .session import spread, table
 
 GAP_US = 36_000_000_000
+#: Groups of more rows are cut into stretches of time.
+HOT_ROWS = 1_000_000
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -22,22 +24,22 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pause_islands(spark: SparkSession, d: str) -> DataFrame:
-    out = series.islands(_events(spark, d), keys=["user_id"], order=[F.col("us"), F.col("event_id")], inside=F.col("value") <= 20, start="us", end="us")
+    out = series.islands(_events(spark, d), keys=["user_id"], order=[F.col("us"), F.col("event_id")], inside=F.col("value") <= 20, start="us", end="us", hot_rows=HOT_ROWS)
     return out.where("n >= 4").select("user_id", "start", "end", "n")
 
 
 def head_run(spark: SparkSession, d: str) -> DataFrame:
     rows = _events(spark, d).withColumn("width", F.lit(0.01))
-    return series.edge_run(rows, keys=["user_id"], order=[F.col("us"), F.col("event_id")], peak="value", threshold=20, width="width", most=3.0).withColumn("silence_s", F.round("silence_s", 4))
+    return series.edge_run(rows, keys=["user_id"], order=["us", "event_id"], peak="value", threshold=20, width="width", most=3.0).withColumn("silence_s", F.round("silence_s", 4))
 
 
 def tail_run(spark: SparkSession, d: str) -> DataFrame:
     rows = _events(spark, d).withColumn("width", F.lit(0.01))
-    return series.edge_run(rows, keys=["user_id"], order=[F.col("us").desc(), F.col("event_id").desc()], peak="value", threshold=20, width="width", most=3.0).withColumn("silence_s", F.round("silence_s", 4))
+    return series.edge_run(rows, keys=["user_id"], from_end=True, order=["us", "event_id"], peak="value", threshold=20, width="width", most=3.0).withColumn("silence_s", F.round("silence_s", 4))
 
 
 def top_pauses(spark: SparkSession, d: str) -> DataFrame:
-    found = series.islands(_events(spark, d), keys=["user_id"], order=[F.col("us"), F.col("event_id")], inside=F.col("value") <= 30, start="us", end="us").withColumn("duration", F.col("end") - F.col("start"))
+    found = series.islands(_events(spark, d), keys=["user_id"], order=[F.col("us"), F.col("event_id")], inside=F.col("value") <= 30, start="us", end="us", hot_rows=HOT_ROWS).withColumn("duration", F.col("end") - F.col("start"))
     out = series.longest(found, keys=["user_id"], duration="duration", start="start", k=3)
     return out.select("user_id", "start", "duration", F.col("number").cast("bigint").alias("number"))
 
@@ -69,7 +71,7 @@ def bucket_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def min_gap_push(spark: SparkSession, d: str) -> DataFrame:
-    return series.push_apart(_events(spark, d), keys=["user_id"], position="us", tie="event_id", gap=GAP_US).select("event_id", "placed")
+    return series.push_apart(_events(spark, d), keys=["user_id"], position="us", tie="event_id", gap=GAP_US, hot_rows=HOT_ROWS).select("event_id", "placed")
 
 
 def thinning(spark: SparkSession, d: str) -> DataFrame:

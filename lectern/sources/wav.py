@@ -178,7 +178,7 @@ def silence(peaks: DataFrame, *, threshold_dbfs: float = -60.0, expected_s: floa
     """(path, head_silence, tail_silence) from the peaks view; each is capped at 1.5 times what is expected."""
     from ..operators.series import edge_run
 
-    runs = edge_run(peaks, keys=["path", "edge"], order=[F.col("bucket")], peak="peak", threshold=10 ** (threshold_dbfs / 20), width="dur_s", most=1.5 * expected_s)
+    runs = edge_run(peaks, keys=["path", "edge"], order=["bucket"], peak="peak", threshold=10 ** (threshold_dbfs / 20), width="dur_s", most=1.5 * expected_s)
     return runs.groupBy("path").agg(F.max(F.when(F.col("edge") == "head", F.col("silence_s"))).alias("head_silence"), F.max(F.when(F.col("edge") == "tail", F.col("silence_s"))).alias("tail_silence"))
 
 

@@ -53,6 +53,7 @@ def test_missing_chapters_and_gaps(spark):
 def test_push_apart(spark, rows, gap):
     df = spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate(rows)], "id int, k int, p long")
     got = {r.id: r.placed for r in series.push_apart(df, keys=["k"], position="p", tie="id", gap=gap).collect()}
+    assert got == {r.id: r.placed for r in series.push_apart(df, keys=["k"], position="p", tie="id", gap=gap, hot_rows=4).collect()}
     for key in {k for k, _ in rows}:
         last = None
         for p, i in sorted((p, i) for i, (k, p) in enumerate(rows) if k == key):
@@ -60,6 +61,23 @@ def test_push_apart(spark, rows, gap):
             assert got[i] == last
 
 
+@FEW
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 30), st.booleans()), min_size=1, max_size=40))
+def test_islands_in_stretches(spark, rows):
+    df = spark.createDataFrame([(i, k, t, x) for i, (k, t, x) in enumerate(rows)], "id int, k string, t long, x boolean")
+    found = [sorted((str(r.k), r.start, r.end, r.n) for r in series.islands(df, keys=["k"], order=[F.col("t"), F.col("id")], inside=F.col("x"), start="t", end="t", hot_rows=hot).collect()) for hot in (None, 4, 1000)]
+    want = []
+    for key in {k for k, _, _ in rows}:
+        run = []
+        for t, _, x in [*sorted((t, i, x) for i, (k, t, x) in enumerate(rows) if k == key), (99, 99, False)]:
+            if x:
+                run.append(t)
+            elif run:
+                want.append((str(key), run[0], run[-1], len(run)))
+                run = []
+    assert found[0] == found[1] == found[2] == sorted(want)
+
+
 @FEW
 @given(st.lists(st.floats(0, 50, allow_nan=False).map(lambda x: round(x, 1)), max_size=30))
 def test_thin(spark, positions):
@@ -76,8 +94,9 @@ def test_thin(spark, positions):
 def test_islands_runs_pauses_and_longest(spark):
     peaks = [0, 0, 5, 0, 0, 0, 5, 5, 0, 0]
     df = spark.createDataFrame([("a", i, i * 0.1, 0.1, float(p)) for i, p in enumerate(peaks)], "k string, b int, t double, w double, peak double")
-    run = lambda order: series.edge_run(df, keys=["k"], order=[order], peak="peak", threshold=1, width="w", most=0.15).first().silence_s
-    assert run(F.col("b")) == pytest.approx(0.15)
+    run = lambda most, **kw: series.edge_run(df, keys=["k"], order=["b"], peak="peak", threshold=1, width="w", most=most, **kw).first().silence_s
+    assert run(0.15) == pytest.approx(0.15) and run(None) == pytest.approx(0.2) == run(None, from_end=True)
+    assert series.edge_run(df.withColumn("k", F.lit(None).cast("string")), keys=["k"], order=["b"], peak="peak", threshold=9, width="w").first().silence_s == pytest.approx(1.0)
     got = sorted((round(r.start, 1), round(r.end, 1)) for r in series.pauses(df, keys=["k"], start="t", width="w", peak="peak", threshold=1.0, least=0.2).collect())
     assert got == [(0.0, 0.2), (0.3, 0.6), (0.8, 1.0)]
     p = series.pauses(df, keys=["k"], start="t", width="w", peak="peak", threshold=1.0, least=0.2)
