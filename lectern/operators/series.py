@@ -37,17 +37,23 @@ def edge_run(buckets: DataFrame, *, keys: list[str], order: list[str], peak: str
     return out if most is None else out.withColumn("silence_s", F.least("silence_s", F.lit(float(most))))
 
 
-def sharded(rows: DataFrame, *, keys: list[str], position: Column, hot_rows: int | None) -> DataFrame:
-    """rows with __shard: 0, or for groups of more than `hot_rows` rows the stretch of positions, of about that many rows,
-    in which a row lies. There are at most rows / hot_rows such groups, so what is broadcast is small. None splits none."""
+def sharded(rows: DataFrame, *, keys: list[str], position: Column, hot_rows: int | None) -> tuple[DataFrame, bool]:
+    """rows with __shard, and whether any group is cut: 0, or for groups of more than `hot_rows` rows the stretch of
+    positions, of about that many rows, in which a row lies.
+
+    There are at most rows / hot_rows such groups, so what is broadcast is small. Whether there are any is looked up at
+    once, with an aggregate over the keys alone, so that tables without hot groups get the plain plan. None cuts none.
+    """
+    whole = rows.withColumn("__shard", F.lit(0).cast("bigint"))
     if hot_rows is None:
-        return rows.withColumn("__shard", F.lit(0).cast("bigint"))
-    placed = rows.withColumn("__at", position.cast("double"))
-    stats = placed.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+        return whole, False
+    stats = rows.select(*keys, position.cast("double").alias("__at")).groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
     hot = stats.where((F.col("__n") > hot_rows) & (F.col("__hi") > F.col("__lo")))
+    if hot.isEmpty():
+        return whole, False
     hot = hot.select(*keys, "__lo", ((F.col("__hi") - F.col("__lo")) / F.ceil(F.col("__n") / hot_rows)).alias("__w"))
-    shard = F.coalesce(F.floor((F.col("__at") - F.col("__lo")) / F.col("__w")), F.lit(0)).cast("bigint")
-    return placed.join(F.broadcast(hot), keys, "left").withColumn("__shard", shard).drop("__at", "__lo", "__w")
+    shard = F.coalesce(F.floor((position.cast("double") - F.col("__lo")) / F.col("__w")), F.lit(0)).cast("bigint")
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("__shard", shard).drop("__lo", "__w"), True
 
 
 def islands(rows: DataFrame, *, keys: list[str], order: list[Column], inside: Column, start: str, end: str, hot_rows: int | None = None) -> DataFrame:
@@ -56,10 +62,10 @@ def islands(rows: DataFrame, *, keys: list[str], order: list[Column], inside: Co
     With `hot_rows`, larger groups are cut into stretches by their first order column; the count of breaks goes on from one
     stretch to the next, so runs over a cut stay whole.
     """
-    cut = sharded(rows, keys=keys, position=order[0], hot_rows=hot_rows)
+    cut, split = sharded(rows, keys=keys, position=order[0], hot_rows=hot_rows)
     w = Window.partitionBy(*keys, "__shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     marked = cut.withColumn("__in", F.coalesce(inside, F.lit(False))).withColumn("__island", F.sum(F.when(F.col("__in"), 0).otherwise(1)).over(w))
-    if hot_rows is not None:
+    if split:
         before = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
         sums = marked.groupBy(*keys, "__shard").agg(F.max("__island").alias("__b")).withColumn("__b", F.coalesce(F.sum("__b").over(before), F.lit(0)))
         marked = _with(marked, sums, [*keys, "__shard"]).withColumn("__island", F.col("__island") + F.col("__b"))
@@ -110,11 +116,11 @@ def push_apart(rows: DataFrame, *, keys: list[str], position: str, tie: str, gap
 
     With `hot_rows`, larger groups are cut into stretches; the count and the maximum go on from one to the next.
     """
-    cut = sharded(rows, keys=keys, position=F.col(position), hot_rows=hot_rows)
+    cut, split = sharded(rows, keys=keys, position=F.col(position), hot_rows=hot_rows)
     w = Window.partitionBy(*keys, "__shard").orderBy(F.col(position), F.col(tie))
     numbered = cut.withColumn("__i", F.row_number().over(w) - 1)
     numbered = numbered.withColumn("__reach", F.max(F.col(position) - F.col("__i") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if hot_rows is not None:
+    if split:
         before = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
         sums = numbered.groupBy(*keys, "__shard").agg(F.count("*").alias("__c"), F.max("__reach").alias("__m"))
         sums = sums.withColumn("__c", F.coalesce(F.sum("__c").over(before), F.lit(0)))
