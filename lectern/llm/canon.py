@@ -26,7 +26,7 @@ class Rules:
     #: Least cosine of a candidate, and how far it must lie above the next one's where the edits don't tell them apart.
     threshold: float = 0.2
     margin: float = 0.06
-    #: In the exact check that follows: edits allowed for each letter of the name, and by how many the next must need more.
+    #: In the exact check: edits allowed for each letter of the name, and by how many the next must need more in a tie.
     edits: float = 0.45
     lead: float = 0.08
     #: Shortest leading part of a name that stands for the name.
@@ -179,17 +179,17 @@ class Index:
                 whole = name.replace(" ", "")
                 gap = edits(flat, whole) / max(len(whole), 1)
                 close[key] = min(close.get(key, 9.0), gap)
-        best = {k: v for k, v in best.items() if v >= self.rules.threshold}
-        if not best:
-            return 0, 0.0
-        ranked = sorted(best, key=lambda k: (close[k], -best[k], k))
-        key = ranked[0]
-        if close[key] > self.rules.edits:
-            return 0, best[key]
-        for other in ranked[1:]:
-            if close[other] - close[key] < self.rules.lead and best[key] - best[other] < self.rules.margin:
-                return 0, best[key]
-        return key, best[key]
+        # edits confirm candidates; of the confirmed ones the cosine decides, and edits again where it is a tie
+        sure = {k: v for k, v in best.items() if v >= self.rules.threshold and close[k] <= self.rules.edits}
+        if not sure:
+            return 0, max(best.values(), default=0.0)
+        most = max(sure.values())
+        rivals = sorted((k for k, v in sure.items() if most - v < self.rules.margin), key=lambda k: (close[k], -sure[k], k))
+        key = rivals[0]
+        near = (k for k, v in best.items() if k != key and v >= self.rules.threshold and abs(v - sure[key]) < self.rules.margin)
+        if any(close[k] - close[key] < self.rules.lead for k in near):
+            return 0, most
+        return key, sure[key]
 
 
 def map_values(values: DataFrame, entries: list[tuple[int, str, str | None]], *, value: str, row_id: str, rules: Rules, case: Column | None = None) -> DataFrame:
@@ -197,9 +197,8 @@ def map_values(values: DataFrame, entries: list[tuple[int, str, str | None]], *,
 
     Null values take no part; blank ones come out as entry 0. Values are reduced to stems and each different stem is
     looked up once: n-gram postings give the candidates, the weighted cosine of their n-grams the score, which must reach
-    a threshold; the number of edits confirms a candidate, and it must lie ahead of every other one by a margin of edits
-    or of score. An entry whose leading
-    ordinal differs from the value's is no candidate. Ties between entries leave the value unmatched. `entries` is the
+    a threshold, and the number of edits confirms them. The highest score is taken if it leads by a margin; of those within
+    the margin the one of fewest edits, if these lead clearly. An entry whose leading ordinal differs from the value's is no candidate. Ties between entries leave the value unmatched. `entries` is the
     reference list, small by nature. Stems are counted with partial counts before the shuffle and looked up in the
     tasks; the mapping is then joined to the rows by stem, with the rows of a frequent stem salted, so that a value that
     fills a third of the table is not gathered in one task.
