@@ -119,7 +119,7 @@ def time_ticks(spark: SparkSession, d: str) -> DataFrame:
 def sample_times(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "marker").where("sample_offset IS NOT NULL AND sample_rate > 0")
     seconds = timecode.samples_to_seconds(F.col("sample_offset"), F.col("sample_rate"))
-    return m.select("marker_id", F.round(seconds, 6).alias("seconds"), timecode.seconds_to_samples(seconds + 1e-6, F.lit(1000)).alias("ms"))
+    return m.select("marker_id", F.floor(seconds * 1000000 + 0.25).cast("bigint").alias("us"), timecode.seconds_to_samples(seconds + 1e-6, F.lit(1000)).alias("ms"))
 
 
 def text_tools(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +197,7 @@ SELECT path, 'CSV Match' AS name, m > 0 AND t + c + e = 0 AS passed, m || '/' ||
     "time_ticks": """WITH v AS (SELECT comparison_id, start_s AS a, end_s AS b, end_s - start_s AS span FROM verse_comparison WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND end_s > start_s),
 s AS (SELECT *, coalesce(list_filter([0.1::DOUBLE, 0.2, 0.5, 1, 2, 5, 10, 15, 30, 60, 120, 300], lambda x: span / x <= 10)[1], 600) AS step FROM v)
 SELECT comparison_id, step, greatest(floor(b / step)::BIGINT - ceil(a / step)::BIGINT + 1, 0) AS ticks FROM s""",
-    "sample_times": "SELECT marker_id, round(sample_offset / sample_rate, 6) AS seconds, trunc((sample_offset / sample_rate + 1e-6::DOUBLE) * 1000)::BIGINT AS ms FROM marker WHERE sample_offset IS NOT NULL AND sample_rate > 0",
+    "sample_times": "SELECT marker_id, floor(sample_offset / sample_rate * 1000000 + 0.25::DOUBLE)::BIGINT AS us, trunc((sample_offset / sample_rate + 1e-6::DOUBLE) * 1000)::BIGINT AS ms FROM marker WHERE sample_offset IS NOT NULL AND sample_rate > 0",
     "text_tools": "SELECT comparison_id, CASE WHEN length(expected_text) > 20 THEN expected_text[1:20] || '...' ELSE expected_text END AS preview, verse_number::BIGINT AS number, coalesce(round(start_s, 4), 0) AS measured FROM verse_comparison",
     "without_headings": r"""SELECT script_id, len(list_filter(string_split(raw_text, chr(10)), lambda x: trim(regexp_replace(x, '^\s*(?:chapter|अध्याय)\s*[\p{Nd}]+', '', 'i')) <> ''))::BIGINT AS lines FROM parsed_script WHERE raw_text IS NOT NULL""",
     "pause_marks": f"""WITH {_REC}, {_GAPS}, u AS (SELECT gaps.path, s, e FROM gaps JOIN rv ON gaps.path = rv.path WHERE e > 2.5 QUALIFY row_number() OVER (PARTITION BY gaps.path ORDER BY d DESC, s) <= verses - 1),

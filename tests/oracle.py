@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 
@@ -17,8 +18,8 @@ def tables(folder: str) -> duckdb.DuckDBPyConnection:
 def _cell(v) -> str:
     if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
-    if isinstance(v, (int, float)) and not isinstance(v, bool):
-        return f"{float(v):.6g}"
+    if isinstance(v, (int, float, np.number)) and not isinstance(v, bool):
+        return str(int(v)) if float(v).is_integer() and abs(v) < 1e15 else f"{float(v):.6g}"
     return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
 
 
